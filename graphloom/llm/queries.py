@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from graphloom.llm.language import op5_language_id
 from graphloom.llm.media_tiff import op3_media_tiff
+from graphloom.llm.quality import op10_quality_classifier
+from graphloom.llm.toxicity import op1_toxicity_fm
 
 QUERIES = {
+    "op1_toxicity_fm": op1_toxicity_fm,
     "op3_media_tiff": op3_media_tiff,
+    "op5_language_id": op5_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
