@@ -28,7 +28,10 @@ from graphloom.llm.shared import documents, fold
 from graphloom.llm.textkit import encode
 
 #: Most labelled rows the model is fitted on, and the learner's settings.
-TRAIN_ROWS, EPOCHS, RANK, MIN_TEXTS, RATE, DECAY = 12_000, 6, 8, 3, 0.15, 2e-5
+TRAIN_ROWS, EPOCHS, RANK, MIN_TEXTS = 12_000, 6, 8, 3
+RATE, SPARSE, DECAY, FACTOR_RATE, FACTOR_DECAY = 1.0, 3.0, 1.0, 0.03, 1e-3
+#: Sample size from which on the L1 term is SPARSE; less, by the square root, below it.
+FULL_SAMPLE = 4000
 THRESHOLD = 0.5
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -89,7 +92,11 @@ class Machine:
 
 
 def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine:
-    """AdaGrad over single texts; rows are (label, distinct term hashes)."""
+    """One text at a time; rows are (label, distinct term hashes).
+
+    Weights follow the regularised leader with an L1 term, which leaves terms without
+    evidence out; factors of the terms that have a weight follow AdaGrad.
+    """
     rows = list(rows)
     labels = np.array([y for y, _ in rows], dtype=np.float64)
     prior = (labels.sum() + 0.5) / (len(rows) + 1)
@@ -106,26 +113,33 @@ def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine
         i[i == len(hashes)] = 0
         placed.append((y, i[hashes[i] == t] if len(t) else i))
     random = np.random.default_rng(3)
-    w, v = np.zeros(len(hashes)), random.normal(0, 0.01, (len(hashes), RANK))
-    gw, gv, gb = np.full(len(hashes), 1.0), np.full((len(hashes), RANK), 1.0), 1.0
+    n, sparse = len(hashes), SPARSE * min(1.0, (len(rows) / FULL_SAMPLE) ** 0.5)
+    z, zn, w = np.zeros(n), np.zeros(n), np.zeros(n)
+    v, gv, gb = random.normal(0, 0.01, (n, RANK)), np.ones((n, RANK)), 1.0
     for _ in range(epochs):
         for k in random.permutation(len(placed)):
             y, i = placed[k]
-            vi, wi = v[i], w[i]
+            wi = w[i]
+            live = i[wi != 0]
+            vi = v[live]
             s = vi.sum(axis=0)
             raw = bias + wi.sum() + 0.5 * (s @ s - (vi * vi).sum())
             g = 1 / (1 + np.exp(-np.clip(raw, -35, 35))) - y
             if abs(g) < 1e-4:
                 continue
-            d = g + DECAY * wi
-            gw[i] += d * d
-            w[i] = wi - RATE * d / np.sqrt(gw[i])
-            d = g * (s - vi) + DECAY * vi
-            d = np.clip(d, -1, 1)
-            gv[i] += d * d
-            v[i] = vi - RATE * 0.2 * d / np.sqrt(gv[i])
+            now = zn[i]
+            then = now + g * g
+            zi = z[i] + g - (np.sqrt(then) - np.sqrt(now)) / RATE * wi
+            z[i], zn[i] = zi, then
+            w[i] = np.where(np.abs(zi) <= sparse, 0.0, (np.sign(zi) * sparse - zi) / ((1 + np.sqrt(then)) / RATE + DECAY))
+            if len(live):
+                d = np.clip(g * (s - vi) + FACTOR_DECAY * vi, -1, 1)
+                gv[live] += d * d
+                v[live] = vi - FACTOR_RATE * d / np.sqrt(gv[live])
             gb += g * g
-            bias -= RATE * g / np.sqrt(gb)
+            bias -= 0.1 * g / np.sqrt(gb)
+    known = w != 0
+    hashes, w, v = hashes[known], w[known], v[known]
     return Machine(hashes, w, v, bias)
 
 
