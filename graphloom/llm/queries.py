@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphloom.llm.language import op5_language_id
 from graphloom.llm.media_tiff import op3_media_tiff
+from graphloom.llm.neardup_vectors import op4_neardup_vectors
 from graphloom.llm.packing import op9_packing_bm25
 from graphloom.llm.quality import op10_quality_classifier
 from graphloom.llm.toxicity import op1_toxicity_fm
@@ -11,6 +12,7 @@ from graphloom.llm.toxicity import op1_toxicity_fm
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op3_media_tiff": op3_media_tiff,
+    "op4_neardup_vectors": op4_neardup_vectors,
     "op5_language_id": op5_language_id,
     "op9_packing_bm25": op9_packing_bm25,
     "op10_quality_classifier": op10_quality_classifier,
