@@ -7,6 +7,7 @@ from graphloom.llm.media_tiff import op3_media_tiff
 from graphloom.llm.neardup_vectors import op4_neardup_vectors
 from graphloom.llm.packing import op9_packing_bm25
 from graphloom.llm.quality import op10_quality_classifier
+from graphloom.llm.repeats import op6_substring_dedup
 from graphloom.llm.toxicity import op1_toxicity_fm
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_media_tiff": op3_media_tiff,
     "op4_neardup_vectors": op4_neardup_vectors,
     "op5_language_id": op5_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_packing_bm25": op9_packing_bm25,
     "op10_quality_classifier": op10_quality_classifier,
 }
