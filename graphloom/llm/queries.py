@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.byte_bpe import op2_byte_bpe
 from graphloom.llm.language import op5_language_id
 from graphloom.llm.media_tiff import op3_media_tiff
 from graphloom.llm.neardup_vectors import op4_neardup_vectors
@@ -12,6 +13,7 @@ from graphloom.llm.toxicity import op1_toxicity_fm
 
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_media_tiff": op3_media_tiff,
     "op4_neardup_vectors": op4_neardup_vectors,
     "op5_language_id": op5_language_id,
