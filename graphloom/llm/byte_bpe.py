@@ -43,7 +43,7 @@ _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: One contraction a step: the word's least (rank, place) among the pairs that the merge table has; ``np`` is where the next token begins.
 SHORT_WORDS = f"""
 with recursive r(it, wid, pos, tok, np) as (
-  select 0::int, wid, pos, tok, lead(pos) over (partition by wid order by pos) from base
+  select 0::int, wid, pos, tok, coalesce(lead(pos) over (partition by wid order by pos), 4294967295) from base
   union all (
     with pairs as (
       select a.wid, a.np, b.np as beyond, m.rank * 4294967296 + a.pos as k
