@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.byte_bpe import op2_byte_bpe
+from graphloom.llm.jaccard_join import op8_ngram_jaccard_join
 from graphloom.llm.language import op5_language_id
 from graphloom.llm.media_tiff import op3_media_tiff
 from graphloom.llm.neardup_vectors import op4_neardup_vectors
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_neardup_vectors": op4_neardup_vectors,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing_bm25": op9_packing_bm25,
     "op10_quality_classifier": op10_quality_classifier,
 }
