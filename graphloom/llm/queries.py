@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from graphloom.llm.byte_bpe import op2_byte_bpe
 from graphloom.llm.jaccard_join import op8_ngram_jaccard_join
 from graphloom.llm.language import op5_language_id
@@ -13,6 +14,7 @@ from graphloom.llm.repeats import op6_substring_dedup
 from graphloom.llm.toxicity import op1_toxicity_fm
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_media_tiff": op3_media_tiff,
@@ -25,3 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

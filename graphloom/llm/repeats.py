@@ -268,7 +268,7 @@ def kept_text(words: list[bytes], covered: np.ndarray) -> tuple:
 KEPT = "n_removed long, kept string"
 
 
-def _removal(finish: Callable, made: str):
+def _removal(finish: Callable, made: str, carried: list[str]):
     schema = f"id long, {made}"
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -294,22 +294,27 @@ def _removal(finish: Callable, made: str):
                         np.add.at(edge, gone + WINDOW, -1)
                         covered = np.cumsum(edge[:-1]) > 0
             rows.append((doc, *finish(words, covered)))
-        return _table(rows, schema)
+        out = _table(rows, schema)
+        for name in carried:
+            out = out.append_column(name, docs.column(name))
+        return out
 
     return run, schema
 
 
-def remove_repeats(docs: DataFrame, finish: Callable = digests, made: str = DIGESTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and what ``finish(words, covered)`` makes of each document; ``made`` names its columns."""
+def remove_repeats(docs: DataFrame, finish: Callable = digests, made: str = DIGESTS, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, what ``finish(words, covered)`` makes of each document (``made`` names its columns), and the ``carry`` columns."""
     n = docs.count()
     shards = max(1, -(-n // SHARD_DOCS))
-    dealt = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shards)).cast("int").alias("shard"))
+    also = {f"carried_{i}": F.col(c) for i, c in enumerate(carry)}
+    dealt = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shards)).cast("int").alias("shard"), *(c.alias(n) for n, c in also.items()))
     meet = lambda packed: packed.repartition("bucket").sortWithinPartitions("bucket", "kind", "shard").mapInArrow(_meet, ANSWER)
     recurring = meet(dealt.groupBy("shard").applyInArrow(_phrases(shards), PACKED))
     located = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_windows(shards), PACKED)
     answers = recurring.filter(F.col("kind") == COPIES).unionAll(meet(located))
-    run, schema = _removal(finish, made)
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
+    run, schema = _removal(finish, made, list(also))
+    schema = ", ".join([schema, *(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name in also)])
+    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema).withColumnsRenamed(dict(zip(also, carry)))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
