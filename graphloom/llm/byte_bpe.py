@@ -34,7 +34,8 @@ from graphloom.llm.shared import documents
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words per query, bytes from which on a word is long, contractions before the recursion starts anew, ids decoded in one query.
 WORDS, LONG, STEPS, DECODED = 20_000, 256, 64, 1_000_000
-UNITS = 900_000
+#: Units and words that a worker process remembers.
+UNITS, KNOWN = 1_500_000, 1_200_000
 
 # The characters with the property White_Space, as a class.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -143,7 +144,7 @@ class ByteBpe:
             self.units.clear()
         cut = [(u, self.pattern.findall(u)) for u in units]
         needed = {w for _, ws in cut for w in ws}
-        if len(self.words) + len(needed) > UNITS // 2:
+        if len(self.words) + len(needed) > KNOWN:
             self.words.clear()
         self._learn_words(sorted(needed.difference(self.words)))
         get = self.words.__getitem__
