@@ -125,7 +125,8 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
     """One row per piece; sequence ids are unique over the table."""
 
     def run(batches):
-        encode = encoder().encode
+        bpe = encoder()
+        encode = bpe.encode
         base = TaskContext.get().partitionId() << 33
         keys, docs, tokens, sequences = [], [], 0, 0
         end = np.array([END_ID], "<u4").tobytes()
@@ -146,8 +147,8 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     keys.append(k)
                     docs.append(ids + end)
@@ -157,6 +158,7 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
                         keys, docs, tokens = [], [], 0
         if docs:
             yield flush()
+        bpe.forget()  # the worker lives on; what it has learnt would add to the memory of other stages
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 

@@ -3,37 +3,51 @@
 A *unit* is a run without white space. The tokenizer drops white space before its
 merges, so a text's ids are those of its units in order; each distinct unit is
 encoded once by the ``tokenizers`` library and remembered. A unit of letters, maybe
-with one full stop or comma after them, is a *core* and that sign: many units share
-a core, and cores are encoded many at a time, told apart by the word-end tokens.
+with a run of signs after them, is a *core* and that run: many units share either,
+and cores are encoded many at a time, told apart by the word-end tokens. Texts of
+Latin-1 characters are lower-cased as a whole first, which the tokenizer does too.
 """
 
 from __future__ import annotations
 
 import os
+from operator import add
 
 import numpy as np
 
 #: Controls that Python takes for white space and the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD_END = "</w>"
+#: ASCII characters that are neither letter nor digit; a run of them is one token of the pattern.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def lowered(text: str) -> str:
+    """Lower-cased where that is certain to be what the tokenizer makes of it."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
 
 
 class WordBpe:
-    def __init__(self, path: str, limit: int = 1_300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # lower-case ASCII letters need neither the file's normalizer nor its pattern
+        # lower-case Latin-1 letters need neither the file's normalizer nor its pattern
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.sign = {"": b"", ".": self.packed("."), ",": self.packed(",")}
+        self.signs: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.limit = limit
@@ -54,26 +68,29 @@ class WordBpe:
                 self.cores[core] = data[start:stop]
                 start = stop
 
+    def forget(self) -> None:
+        self.units.clear()
+        self.cores.clear()
+        self.signs = {"": b""}
+
     def learn(self, units: list[str]) -> None:
         """Remember the ids of these units."""
         if len(self.units) + len(units) > self.limit:
-            self.units.clear()
-            self.cores.clear()
-        split, odd = [], []
-        for unit in units:
-            if unit.isalpha():
-                core, sign = unit, ""
-            elif unit[-1] in ".," and unit[:-1].isalpha():
-                core, sign = unit[:-1], unit[-1]
-            else:
-                odd.append(unit)
-                continue
-            split.append((unit, core.lower() if core.isascii() else core, sign))
-        fresh = sorted({core for _, core, _ in split}.difference(self.cores))
-        self._learn_cores([c for c in fresh if c.isascii()], self.plain)
-        self._learn_cores([c for c in fresh if not c.isascii()], self.tokenizer)
-        known, signs = self.cores, self.sign
-        self.units.update((unit, known[core] + signs[sign]) for unit, core, sign in split)
+            self.forget()
+        cores = [unit.rstrip(SIGNS) for unit in units]
+        odd = [unit for unit, core in zip(units, cores) if not core.isalpha()]
+        if odd:
+            units = [unit for unit, core in zip(units, cores) if core.isalpha()]
+            cores = [core for core in cores if core.isalpha()]
+        ends = [unit[len(core) :] for unit, core in zip(units, cores)]
+        fresh = set(cores).difference(self.cores)
+        # only texts of Latin-1 characters come lower-cased; other cores need the file's own rules
+        own = [core for core in fresh if core != core.lower() or not core.isascii() and max(core) > "\xff"]
+        self._learn_cores(list(fresh.difference(own)), self.plain)
+        self._learn_cores(own, self.tokenizer)
+        for sign in set(ends).difference(self.signs):
+            self.signs[sign] = self.packed(sign)
+        self.units.update(zip(units, map(add, map(self.cores.__getitem__, cores), map(self.signs.__getitem__, ends))))
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
             for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -88,7 +105,7 @@ class WordBpe:
         def flush() -> None:
             if missing := fresh.difference(self.units):
                 if len(self.units) + len(missing) > self.limit:
-                    self.units.clear()  # so all of these texts' units are learnt together
+                    self.forget()  # so all of these texts' units are learnt together
                     missing = fresh
                 self.learn(list(missing))
             get = self.units.__getitem__
@@ -101,7 +118,7 @@ class WordBpe:
             if any(c in text for c in ODD):
                 held.append(text)
             else:
-                held.append(units := text.split())
+                held.append(units := lowered(text).split())
                 fresh.update(units)
             if len(fresh) > 100_000:
                 flush()
