@@ -11,6 +11,7 @@ from graphloom.llm.neardup_vectors import op4_neardup_vectors
 from graphloom.llm.packing import op9_packing_bm25
 from graphloom.llm.quality import op10_quality_classifier
 from graphloom.llm.repeats import op6_substring_dedup
+from graphloom.llm.token_counts import op7_token_counts
 from graphloom.llm.toxicity import op1_toxicity_fm
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_neardup_vectors": op4_neardup_vectors,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing_bm25": op9_packing_bm25,
     "op10_quality_classifier": op10_quality_classifier,
