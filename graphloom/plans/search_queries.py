@@ -559,3 +559,82 @@ def static_weights(m):
     return static_rows(m).withColumn("w", F.round("w", 8))
 
 
+
+
+# ---------------------------------------------------------------- recipes and the impact experiment
+
+
+@query("recipes_final")
+def recipes_final(m):
+    """Strict accuracy of the four final recipes."""
+    from graphloom.plans import recipes
+
+    return recipes.accuracy(recipes.Context(m).sweep(recipes.SWEEP_FINAL), m.gold)
+
+
+@query("recipes_sources")
+def recipes_sources(m):
+    """Strict accuracy without each source in turn: the first group of the ablation."""
+    from graphloom.plans import recipes
+
+    chosen = {n: r for n, r in recipes.ABLATION.items() if n == "full" or n.startswith("no_")}
+    return recipes.accuracy(recipes.Context(m).sweep(chosen), m.gold)
+
+
+@query("schemes", "select conv_id, array_to_string(list_concat(list_slice(list_sort(turns), 1, 10), list_filter(list_slice(turns, 1, 50), lambda x: not list_contains(list_slice(list_sort(turns), 1, 10), x))), ',') as base50 from (select conv_id, list(lower(sha1(text)) order by turn) as turns from (select conv_id, text, min(turn) as turn from conversations where text is not null group by 1, 2) group by 1)")
+def scheme(m):
+    """A scheme around a scorer that sorts: each conversation's texts by their hash."""
+    from graphloom.plans import schemes
+
+    texts = m.table("conversations").filter("text is not null").groupBy("conv_id", "text").agg(F.min("turn").alias("turn"))
+    listed = texts.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.sha1(F.col("text")).alias("h")))), lambda x: x["h"]).alias("c"))
+    return listed.select("conv_id", F.array_join(schemes.base(lambda a, n: F.slice(F.array_sort(a), 1, n), F.col("c")), ",").alias("base50"))
+
+
+LEAVE_OUT = (
+    "heads as (select sha, any_value(ts) as ts from changes join commits using (sha) group by sha having count(*) between 2 and 10 order by ts desc, sha limit 60)",
+    "asked as (select sha, ts, file as seed from (select h.sha, h.ts, c.file, row_number() over (partition by h.sha order by c.file) as r from heads h join changes c using (sha)) where r <= 2)",
+    "gold2 as (select a.sha, a.seed, c.file from asked a join changes c on c.sha = a.sha and c.file <> a.seed)",
+    "past as (select s.sha, s.file, c.ts from small s join commits c using (sha))",
+    "near as (select a.sha, a.seed, q.file, count(*) as n from asked a join past p on p.file = a.seed and p.ts < a.ts join small q on q.sha = p.sha and q.file <> a.seed group by 1, 2, 3)",
+    "ranked as (select *, row_number() over (partition by sha, seed order by n desc, file) as rank from near)",
+)
+
+
+@query(
+    "impact_eval",
+    "select sha, seed, count(*) as n_gold, round(sum((coalesce(rank, 999) <= 10)::int) / count(*), 6) as r10, round(coalesce(1.0 / min(rank) filter (rank <= 50), 0), 6) as mrr from gold2 left join ranked using (sha, seed, file) group by 1, 2",
+    *LEAVE_OUT,
+)
+def impact_eval(m):
+    """Leave-one-out over the newest commits: neighbours by count in the history before each commit, batched by (commit, seed)."""
+    from pyspark.sql import Window as W
+
+    from graphloom.sources.tables import BULK
+
+    heads = history.head_commits(m.changes, m.commits)
+    inside = heads.select("sha", "ts").join(m.changes, "sha")
+    asked = inside.withColumn("r", F.row_number().over(W.partitionBy("sha").orderBy("file"))).filter("r <= 2").select("sha", "ts", F.col("file").alias("seed"))
+    small = history.bulk_filter(m.changes, BULK)
+    dated = small.join(m.commits, "sha").select(F.col("sha").alias("past"), F.col("file").alias("seed"), F.col("ts").alias("then"))
+    before = F.broadcast(asked).join(dated, "seed").filter("then < ts")
+    near = before.join(small.select(F.col("sha").alias("past"), "file"), "past").filter("file <> seed").groupBy("sha", "seed", "file").agg(F.count(F.lit(1)).alias("n"))
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("sha", "seed").orderBy(F.desc("n"), "file")))
+    gold = asked.select("sha", "seed").join(m.changes, "sha").filter("file <> seed")
+    met = gold.join(ranked.select("sha", "seed", "file", "rank"), ["sha", "seed", "file"], "left").groupBy("sha", "seed")
+    found = met.agg(F.count(F.lit(1)).alias("n_gold"), F.sum(F.when(F.col("rank") <= 10, 1).otherwise(0)).alias("k"), F.min(F.when(F.col("rank") <= 50, F.col("rank"))).alias("first"))
+    return found.select("sha", "seed", "n_gold", F.round(F.col("k") / F.col("n_gold"), 6).alias("r10"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+
+
+@query("companion_expansion", "select qid, file, rank from (select qid, file, row_number() over (partition by qid order by place, w desc, file) as rank from (select qid, file, min(place) as place, max(w) as w from (select qid, file, rank as place, 0.0 as w from bm where rank <= 3 union all select b.qid, e.dst, 10, e.w from bm b join (select src, dst, round(decayed, 6) as w, row_number() over (partition by src order by round(decayed, 6) desc, dst) as r from both_ways) e on e.src = b.file and e.r <= 5 where b.rank <= 3) group by 1, 2)) where rank <= 15", *LAYERS, *BM)
+def companions(m):
+    """The first three files, then each one's five strongest co-change neighbours, fifteen in all."""
+    from pyspark.sql import Window as W
+
+    head = bm(m).filter("rank <= 3").select("qid", "file", "rank")
+    near = history.symmetric(pairs(m), "decayed").withColumn("w", F.round("decayed", 6))
+    near = near.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))).filter("r <= 5")
+    more = head.join(near.select(F.col("src").alias("file"), "dst", "w"), "file").select("qid", F.col("dst").alias("file"), F.lit(10).alias("place"), "w")
+    every = head.select("qid", "file", F.col("rank").alias("place"), F.lit(0.0).alias("w")).unionAll(more).groupBy("qid", "file").agg(F.min("place").alias("place"), F.max("w").alias("w"))
+    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("place", F.desc("w"), "file")))
+    return ranked.filter("rank <= 15").select("qid", "file", "rank")
