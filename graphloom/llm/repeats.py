@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -39,9 +40,11 @@ from graphloom.llm.shared import documents
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles, sliding_min
 
 WINDOW, PHRASE, SHARD_DOCS = 50, 5, 4096
-#: Characters that stand for a word in the automaton's texts, 4 bits each.
-LETTERS = 5
+#: Characters that stand for a word in the automaton's texts and bits of each; words hashed together.
+LETTERS, LETTER_BITS, CHUNK = 3, 6, 32_768
 PHRASES, COPIES, WINDOWS = 0, 1, 2
+#: Stands for a null id: no document is smaller.
+NEVER = np.iinfo(np.int64).min
 
 PACKED = "bucket int, shard int, kind int, keys binary, low binary, high binary"
 ANSWER = "shard int, kind int, keys binary, low binary"
@@ -52,13 +55,44 @@ def _sequence(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def chosen(ids: np.ndarray) -> np.ndarray:
-    """Places of the phrases that the windows of these word hashes choose; none without a whole window."""
+class Chunk:
+    """Documents whose words are hashed as one array; windows never cross their edges."""
+
+    def __init__(self, words: list[list[bytes]], hashes: WordHashes):
+        self.ids = hashes.of(list(chain.from_iterable(words)))
+        size = np.array([len(w) for w in words])
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        self.doc = np.repeat(np.arange(len(words)), size)
+
+    def whole(self) -> np.ndarray:
+        """Which window starts have all of their words in one document."""
+        n = len(self.ids) - WINDOW + 1
+        return self.doc[:n] == self.doc[WINDOW - 1 :] if n > 0 else np.empty(0, bool)
+
+
+def chunks(docs: list[tuple[int, list[bytes]]], hashes: WordHashes):
+    """(documents, their Chunk) with about ``CHUNK`` words each."""
+    held, size = [], 0
+    for item in docs:
+        held.append(item)
+        size += len(item[-1])
+        if size >= CHUNK:
+            yield held, Chunk([x[-1] for x in held], hashes)
+            held, size = [], 0
+    if held:
+        yield held, Chunk([x[-1] for x in held], hashes)
+
+
+def chosen(ids: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Places of the phrases that the (``whole``) windows of these word hashes choose."""
     if len(ids) < WINDOW:
         return np.empty(0, np.int64)
     x = shingles(ids, PHRASE)
     span = WINDOW - PHRASE + 1
     least = sliding_min(x, span)
+    if whole is not None:
+        least[~whole] = 0
     edge = np.zeros(span - 1, np.uint64)
     most = ~sliding_min(~np.concatenate((edge, least, edge)), span)
     return np.flatnonzero(x == most)
@@ -77,9 +111,9 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _letters(ids: np.ndarray) -> str:
-    """Each word as ``LETTERS`` characters of an alphabet of 16."""
-    shifts = np.arange(LETTERS, dtype=np.uint64) * U64(4)
-    return ((ids[:, None] >> shifts & U64(15)).astype(np.uint8) + 65).tobytes().decode("ascii")
+    """Each word as ``LETTERS`` characters of a small alphabet."""
+    shifts = np.arange(LETTERS, dtype=np.uint64) * U64(LETTER_BITS)
+    return ((ids[:, None] >> shifts & U64((1 << LETTER_BITS) - 1)).astype(np.uint8) + 48).tobytes().decode("ascii")
 
 
 def _reduce(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,18 +150,14 @@ def _phrases(count: int):
         hashes = WordHashes()
         shard = table.column("shard")[0].as_py()
         keys, docs, copies, copied = [], [], [], []
-        for doc, text in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
-            words = encode(text).split()
-            if doc is None or len(words) < WINDOW:
-                continue
-            ids = hashes.of(words)
-            at = chosen(ids)
-            short = ids.astype("<u4")
-            found = np.unique(np.ascontiguousarray(np.stack([short[at + j] for j in range(PHRASE)], axis=1)).view("V20")[:, 0])
-            keys.append(found)
-            docs.append(np.full(len(found), doc, np.int64))
-            copies.append(_sequence(words))
-            copied.append(doc)
+        read = ((doc, encode(text).split()) for doc, text in zip(table.column("id").to_pylist(), table.column("text").to_pylist()) if doc is not None)
+        for part, chunk in chunks((x for x in read if len(x[1]) >= WINDOW), hashes):
+            at = chosen(chunk.ids, chunk.whole())
+            short = chunk.ids.astype("<u4")
+            keys.append(np.ascontiguousarray(np.stack([short[at + j] for j in range(PHRASE)], axis=1)).view("V20")[:, 0])
+            docs.append(np.array([d for d, _ in part], np.int64)[chunk.doc[at]])
+            copies += [_sequence(words) for _, words in part]
+            copied += [d for d, _ in part]
         rows = []
         if keys:
             k, low, high = _reduce(np.concatenate(keys), np.concatenate(docs))
@@ -215,24 +245,22 @@ def _windows(count: int):
         if machine is None or not docs.num_rows:
             return _table([], PACKED)
         hashes, shard = WordHashes(), docs.column("shard")[0].as_py()
-        keys, ids_of, buckets = [], [], []
-        for doc, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist()):
-            words = encode(text).split()
-            if doc is None or len(words) < WINDOW or copies.get(_sequence(words), doc) < doc:
-                continue  # an equal document with a smaller id has the same windows
-            ids = hashes.of(words)
-            at = occurrences(machine, ids)
-            if not len(at):
-                continue
-            n = len(ids) - WINDOW + 1
-            open_ = np.zeros(n + 1, np.int64)
-            np.add.at(open_, np.clip(at + PHRASE - WINDOW, 0, n), 1)
-            np.add.at(open_, np.clip(at + 1, 0, n), -1)
-            near = np.flatnonzero(np.cumsum(open_[:-1]) > 0)
-            w, v = windows(ids)
-            found = np.ascontiguousarray(np.stack((w[near], v[near]), axis=1)).view("V16")[:, 0]
-            keys.append(found)
-            ids_of.append(np.full(len(found), doc, np.int64))
+        keys, ids_of = [], []
+        read = ((doc, encode(text).split()) for doc, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist()) if doc is not None)
+        # an equal document with a smaller id has the same windows
+        for part, chunk in chunks((x for x in read if len(x[1]) >= WINDOW and copies.get(_sequence(x[1]), x[0]) >= x[0]), hashes):
+            at = occurrences(machine, chunk.ids)
+            at = at[chunk.doc[at] == chunk.doc[at + PHRASE - 1]]
+            first = np.maximum(at + PHRASE - WINDOW, chunk.starts[chunk.doc[at]])
+            last = np.minimum(at, chunk.ends[chunk.doc[at]] - WINDOW)
+            edge = np.zeros(len(chunk.ids) + 1, np.int64)
+            np.add.at(edge, first[first <= last], 1)
+            np.add.at(edge, last[first <= last] + 1, -1)
+            near = np.flatnonzero(np.cumsum(edge) > 0)
+            if len(near):
+                w, v = windows(chunk.ids)
+                keys.append(np.ascontiguousarray(np.stack((w[near], v[near]), axis=1)).view("V16")[:, 0])
+                ids_of.append(np.array([d for d, _ in part], np.int64)[chunk.doc[near]])
         if not keys:
             return _table([], PACKED)
         k, low, high = _reduce_windows(np.concatenate(keys), np.concatenate(ids_of))
@@ -278,22 +306,23 @@ def _removal(finish: Callable, made: str, carried: list[str]):
         order = np.argsort(pair[:, 0], kind="stable")
         first, second, low = pair[order, 0].copy(), pair[order, 1].copy(), low[order]
         hashes, rows = WordHashes(), []
-        for doc, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist()):
-            words = encode(text).split()
-            covered = np.zeros(len(words), bool)
-            if doc is not None and len(words) >= WINDOW:
-                if copies and copies.get(_sequence(words), doc) < doc:
-                    covered[:] = True
-                elif len(first):
-                    w, v = windows(hashes.of(words))
-                    i = np.minimum(np.searchsorted(first, w), len(first) - 1)
-                    gone = np.flatnonzero((first[i] == w) & (second[i] == v) & (low[i] < doc))
-                    if len(gone):
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, gone, 1)
-                        np.add.at(edge, gone + WINDOW, -1)
-                        covered = np.cumsum(edge[:-1]) > 0
-            rows.append((doc, *finish(words, covered)))
+        read = ((doc, encode(text).split()) for doc, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist()))
+        for part, chunk in chunks(read, hashes):
+            covered = np.zeros(len(chunk.ids), bool)
+            if len(first) and (whole := chunk.whole()).any():
+                w, v = windows(chunk.ids)
+                i = np.minimum(np.searchsorted(first, w), len(first) - 1)
+                own = np.array([NEVER if d is None else d for d, _ in part], np.int64)[chunk.doc[: len(w)]]
+                gone = np.flatnonzero((first[i] == w) & (second[i] == v) & (low[i] < own) & whole)
+                edge = np.zeros(len(chunk.ids) + 1, np.int64)
+                np.add.at(edge, gone, 1)
+                np.add.at(edge, gone + WINDOW, -1)
+                covered = np.cumsum(edge[:-1]) > 0
+            for (doc, words), s, e in zip(part, chunk.starts.tolist(), chunk.ends.tolist()):
+                mine = covered[s:e]
+                if copies and doc is not None and e - s >= WINDOW and copies.get(_sequence(words), doc) < doc:
+                    mine = np.ones(e - s, bool)
+                rows.append((doc, *finish(words, mine)))
         out = _table(rows, schema)
         for name in carried:
             out = out.append_column(name, docs.column(name))
