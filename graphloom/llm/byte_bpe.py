@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from graphloom.llm.memos import claim
 from graphloom.llm.shared import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -95,6 +96,10 @@ class ByteBpe:
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.units.clear()
+
     def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -201,6 +206,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     def run(batches):
         bpe = opened(path, pattern)
+        claim("byte_bpe", bpe.forget)
         for batch in batches:
             packed = bpe.encode(batch.column(1).to_pylist())
             offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
@@ -215,6 +221,7 @@ def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
 
     def run(batches):
         bpe = opened(path, pattern)
+        claim("byte_bpe", bpe.forget)
         for batch in batches:
             packed = [b"" if x is None else np.asarray(x, "<u4").tobytes() for x in batch.column(1).to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.decode(packed), pa.binary())], names=[key, "decoded"])
@@ -228,6 +235,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
     def run(batches):
         bpe = opened(path, pattern)
+        claim("byte_bpe", bpe.forget)
         for batch in batches:
             packed = bpe.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(

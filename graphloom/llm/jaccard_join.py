@@ -26,17 +26,23 @@ is returned; null ids link with nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.components import components
+from graphloom.llm.memos import claim
 from graphloom.llm.repeats import ANSWER, _bucket_of, _pack, _table
 from graphloom.llm.shared import documents, materialise
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles
 
 SHINGLE, SHARD_DOCS, BLOCK = 3, 4096, 1024
+#: Words that are hashed together.
+CHUNK = 32_768
 #: Counters of the sketch and the pieces it is added up in; parts of the hash range for the bounds.
 COUNTERS, PIECES, PARTS = 1 << 20, 64, 64
 ELEMENTS, SETS = 0, 1
@@ -47,15 +53,31 @@ FOUND = "kind int, element long, id long, other long, n int, place int, bounds b
 _KEY = {ELEMENTS: "V8", SETS: "V16"}
 
 
-def element_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's word runs."""
-    words = encode(text).lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    ids = hashes.of(words)
-    if len(ids) < SHINGLE:
-        return shingles(ids, len(ids), salt=len(ids))
-    return np.unique(shingles(ids, SHINGLE))
+def element_sets(texts: Iterable[str | None], hashes: WordHashes) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's word runs; the words of several texts are hashed together."""
+    held: list[list[bytes]] = []
+    size = 0
+
+    def close() -> Iterator[np.ndarray]:
+        ids = hashes.of(list(chain.from_iterable(held)))
+        runs = shingles(ids, SHINGLE)
+        start = 0
+        for words in held:
+            n = len(words)
+            if n >= SHINGLE:
+                x = np.sort(runs[start : start + n - SHINGLE + 1])
+                yield x[np.concatenate(([True], x[1:] != x[:-1]))]
+            else:
+                yield shingles(ids[start : start + n], n, salt=n) if n else np.empty(0, np.uint64)
+            start += n
+
+    for text in texts:
+        held.append(encode(text).lower().split())
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield from close()
+            held, size = [], 0
+    yield from close()
 
 
 def prefix_length(n: int) -> int:
@@ -81,10 +103,11 @@ def prefix(elements: np.ndarray, heat: np.ndarray) -> np.ndarray:
 
 
 def _count(batches):
+    claim("jaccard")
     counts, hashes = np.zeros(COUNTERS, np.int64), WordHashes()
     for batch in batches:
-        for text in batch.column(0):
-            np.add.at(counts, _counter(element_set(text.as_py(), hashes)), 1)
+        for elements in element_sets(batch.column(0).to_pylist(), hashes):
+            np.add.at(counts, _counter(elements), 1)
     step = COUNTERS // PIECES
     counts = np.minimum(counts, 2**31 - 1).astype("<i4")
     yield from _table([(i, counts[i * step : (i + 1) * step].tobytes()) for i in range(PIECES)], "piece int, counts binary").to_batches()
@@ -119,10 +142,10 @@ def _set_hash(elements: np.ndarray) -> bytes:
 
 def _prefixes(count: int, heat):
     def run(table: pa.Table) -> pa.Table:
+        claim("jaccard")
         hashes, shard = WordHashes(), table.column("shard")[0].as_py()
         sets: dict[bytes, tuple[int, np.ndarray]] = {}
-        for doc, text in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
-            e = element_set(text, hashes)
+        for doc, e in zip(table.column("id").to_pylist(), element_sets(table.column("text").to_pylist(), hashes)):
             if doc is None or not len(e):
                 continue
             h = _set_hash(e)
@@ -202,7 +225,7 @@ def _groups(heat):
         same = [(np.frombuffer(k, "V16"), np.frombuffer(v, "<i8")) for k, v, x in zip(answers.column("keys").to_pylist(), answers.column("low").to_pylist(), answers.column("kind").to_pylist()) if x == SETS]
         first = {k.tobytes(): int(d) for ks, ds in same for k, d in zip(ks, ds)}
         hashes, rows, done = WordHashes(), [], set()
-        sets = [(doc, e, _set_hash(e) if len(e) else b"") for doc, e in zip(docs.column("id").to_pylist(), (element_set(t, hashes) for t in docs.column("text").to_pylist()))]
+        sets = [(doc, e, _set_hash(e) if len(e) else b"") for doc, e in zip(docs.column("id").to_pylist(), element_sets(docs.column("text").to_pylist(), hashes))]
         for doc, _, h in sets:
             if doc is not None and h:
                 first[h] = min(doc, first.get(h, doc))
@@ -330,7 +353,7 @@ def _dealt(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
 def _whole_sets(batches):
     hashes = WordHashes()
     for batch in batches:
-        sets = [element_set(t, hashes).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+        sets = [e.astype("<u8").tobytes() for e in element_sets(batch.column(2).to_pylist(), hashes)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["cluster", "id", "elements"])
 
 

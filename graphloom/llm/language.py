@@ -21,7 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphloom.llm.sampling import bounded_rows
+from graphloom.llm.memos import claim
+from graphloom.llm.sampling import bounded_rows, give_back_memory
 from graphloom.llm.shared import documents, fold
 from graphloom.llm.textkit import encode
 
@@ -149,7 +150,10 @@ def train(docs: DataFrame, keep: Column | None = None) -> Centroids:
 
     table = rows.select("lang", "text").mapInArrow(run, "lang string, tf binary").toArrow().sort_by([("lang", "ascending"), ("tf", "ascending")])
     tf = np.array([np.frombuffer(b, "<u2") for b in table["tf"].to_pylist()], np.float32).reshape(-1, DIMS)
-    return fit(table["lang"].to_pylist(), tf)
+    model = fit(table["lang"].to_pylist(), tf)
+    del table, tf
+    give_back_memory()
+    return model
 
 
 def predict(df: DataFrame, model: Centroids, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -157,6 +161,7 @@ def predict(df: DataFrame, model: Centroids, keep: tuple[str, ...] = ("doc_id",)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("language")
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):

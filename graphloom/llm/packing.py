@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from graphloom.llm.memos import claim
 from graphloom.llm.shared import documents
 from graphloom.llm.word_bpe import WordBpe
 
@@ -126,6 +127,7 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
 
     def run(batches):
         bpe = encoder()
+        claim("word_bpe", bpe.forget)
         encode = bpe.encode
         base = TaskContext.get().partitionId() << 33
         keys, docs, tokens, sequences = [], [], 0, 0
@@ -158,7 +160,6 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
                         keys, docs, tokens = [], [], 0
         if docs:
             yield flush()
-        bpe.forget()  # the worker lives on; what it has learnt would add to the memory of other stages
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 

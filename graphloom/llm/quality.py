@@ -21,7 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.sampling import labelled_sample
+from graphloom.llm.memos import claim
+from graphloom.llm.sampling import give_back_memory, labelled_sample
 from graphloom.llm.shared import documents, fold
 from graphloom.llm.textkit import U64, encode, mix
 
@@ -93,7 +94,7 @@ def fit(rows: Iterable[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS
     bias, bias_n = float(np.log(prior / (1 - prior))), 1.0
     z, n = np.zeros(size), np.zeros(size)
     order = np.random.default_rng(5)
-    scaled = [(y, p, values(c)) for y, p, c in rows]
+    scaled = [(y, p, values(c).astype(np.float32)) for y, p, c in rows]
 
     def weights_at(i):
         zi = z[i]
@@ -137,8 +138,11 @@ def extract(df: DataFrame, label: str = "label") -> DataFrame:
 def train(sample: DataFrame) -> Model:
     """Fit on a bounded sample of (text, label)."""
     table = extract(sample).toArrow().sort_by([("label", "ascending"), ("places", "ascending")])
-    rows = zip(table["label"].to_pylist(), table["places"].to_pylist(), table["counts"].to_pylist())
-    return fit((y, np.frombuffer(p, "<i4"), np.frombuffer(c, "<u2")) for y, p, c in rows)
+    rows = zip(table["label"].to_pylist(), table["places"], table["counts"])
+    model = fit((y, np.frombuffer(p.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<u2")) for y, p, c in rows)
+    del rows, table
+    give_back_memory()
+    return model
 
 
 def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -146,6 +150,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("quality")
         memo, model = _Pairs(), shared.value
         for batch in batches:
             scores = [model.score(*features(value.as_py(), memo)) for value in batch.column(batch.num_columns - 1)]

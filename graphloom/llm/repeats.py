@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.llm.memos import claim
 from graphloom.llm.shared import documents
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles, sliding_min
 
@@ -147,6 +148,7 @@ def _bucket_of(keys: np.ndarray, count: int) -> np.ndarray:
 
 def _phrases(count: int):
     def run(table: pa.Table) -> pa.Table:
+        claim("repeats")
         hashes = WordHashes()
         shard = table.column("shard")[0].as_py()
         keys, docs, copies, copied = [], [], [], []

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def give_back_memory() -> None:
+    """Return what a fit has freed to the system: the driver goes on to other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps the memory for itself
+        pass
+
+
 def bounded_rows(rows: DataFrame, bound: int, *order: Column) -> DataFrame:
     """At most ``bound`` rows, chosen by hash: a threshold first, so no task sends more than its share.
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from graphloom.llm.memos import claim
 from graphloom.llm.packing import encoder_for
 from graphloom.llm.shared import documents, materialise
 from graphloom.llm.word_bpe import WordBpe
@@ -78,6 +79,7 @@ def write_blocks(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_
 
     def run(batches):
         bpe, file = encoder(), TaskContext.get().partitionId()
+        claim("word_bpe", bpe.forget)
         end, size = np.array([END_ID], "<u2").tobytes(), block_ids * ID_BYTES
         held, block, keys, first = bytearray(), 0, [], 0
 
@@ -101,7 +103,6 @@ def write_blocks(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_
             yield rows(block, bytes(held), None)
         if keys:
             yield rows(first, None, keys)
-        bpe.forget()
 
     return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "file long, block long, ids binary, keys array<long>")
 

@@ -23,7 +23,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.sampling import labelled_sample
+from graphloom.llm.memos import claim
+from graphloom.llm.sampling import give_back_memory, labelled_sample
 from graphloom.llm.shared import documents, fold
 from graphloom.llm.textkit import encode
 
@@ -109,9 +110,8 @@ def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine
         return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, RANK)), bias)
     placed = []
     for y, t in rows:
-        i = np.searchsorted(hashes, t)
-        i[i == len(hashes)] = 0
-        placed.append((y, i[hashes[i] == t] if len(t) else i))
+        i = np.minimum(np.searchsorted(hashes, t), len(hashes) - 1)
+        placed.append((y, i[hashes[i] == t].astype(np.int32)))
     random = np.random.default_rng(3)
     n, sparse = len(hashes), SPARSE * min(1.0, (len(rows) / FULL_SAMPLE) ** 0.5)
     z, zn, w = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -139,7 +139,7 @@ def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine
             gb += g * g
             bias -= 0.1 * g / np.sqrt(gb)
     known = w != 0
-    hashes, w, v = hashes[known], w[known], v[known]
+    hashes, w, v = hashes[known].astype(np.int64), w[known], v[known]
     return Machine(hashes, w, v, bias)
 
 
@@ -158,7 +158,11 @@ def extract(df: DataFrame, label: str = "label") -> DataFrame:
 def train(sample: DataFrame) -> Machine:
     """Fit on a bounded sample of (text, label)."""
     table = extract(sample).toArrow().sort_by([("label", "ascending"), ("terms", "ascending")])
-    return fit((y, np.frombuffer(t, "<u4").astype(np.int64)) for y, t in zip(table["label"].to_pylist(), table["terms"].to_pylist()))
+    rows = [(y, np.frombuffer(t.as_buffer() if t.is_valid else b"", "<u4")) for y, t in zip(table["label"].to_pylist(), table["terms"])]
+    model = fit(rows)
+    del rows, table
+    give_back_memory()
+    return model
 
 
 def score(df: DataFrame, model: Machine, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -166,6 +170,7 @@ def score(df: DataFrame, model: Machine, threshold: float = THRESHOLD, keep: tup
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("toxicity")
         model = shared.value
         memo = _Memo(model.places)
         for batch in batches:
