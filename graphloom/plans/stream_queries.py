@@ -18,8 +18,11 @@ ANCHOR = "1995-01-01 00:00:00"
 def streamed(m: Model):
     spark = m.spark
     root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/graphloom-checkpoints'}/stream-{uuid.uuid4().hex}"
-    schema = m.table("orders").schema
-    orders = spark.readStream.schema(schema).parquet(f"{m.sf_dir}/orders.parquet")
+    table = m.table("orders")
+    reader = spark.readStream.schema(table.schema)
+    # a stream reads folders: a table of one file is picked out of its folder by name
+    single = table.inputFiles()[0].endswith("/orders.parquet")
+    orders = reader.option("pathGlobFilter", "orders.parquet").parquet(m.sf_dir) if single else reader.parquet(f"{m.sf_dir}/orders.parquet")
     commits = orders.select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts")).filter(F.col("ts") <= F.lit(BASE).cast("timestamp_ntz"))
     stream_pairs.maintain(commits, m.changes, m.tree, f"{root}/state", f"{root}/log", ANCHOR, BULK)
     return stream_pairs.current(spark, f"{root}/state", ANCHOR, BASE).withColumn("decayed", F.round("decayed", 6))
