@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from graphloom.llm import oracles
 from graphloom.llm.byte_bpe import op2_byte_bpe
 from graphloom.llm.jaccard_join import op8_ngram_jaccard_join
 from graphloom.llm.language import op5_language_id
@@ -28,7 +29,11 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_neardup_vectors": oracles.VECTORS,
+    "op6_substring_dedup": oracles.REPEATS,
+    "op8_ngram_jaccard_join": oracles.JACCARD,
+}
 
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
