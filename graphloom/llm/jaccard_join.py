@@ -1,10 +1,10 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A document's set holds the hashes of its distinct ``SHINGLE``-word runs. Two
-documents link when 100 * |intersection| >= 90 * |union|. Elements have one order
-everywhere: elements that a fixed-size sketch of counts over all documents shows to
-be common come last, otherwise by hash. Linked sets share an element among the first
-``n - ceil(0.9 n) + 1`` of each (the *prefix*).
+A document's set holds the hashes of its distinct runs of ``shingle`` words. Two
+documents link when 100 * |intersection| >= ``percent`` * |union|; ``Rule`` has both.
+Elements have one order everywhere: elements that a fixed-size sketch of counts over
+all documents shows to be common come last, otherwise by hash. Linked sets share an
+element among the first ``n - ceil(percent / 100 * n) + 1`` of each (the *prefix*).
 
 1. Equal sets are collapsed; of the rest, prefix elements that two documents have
    are found over all shards.
@@ -27,6 +27,8 @@ is returned; null ids link with nothing; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -40,7 +42,7 @@ from graphloom.llm.repeats import ANSWER, _bucket_of, _pack, _table
 from graphloom.llm.shared import documents, materialise
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles
 
-SHINGLE, SHARD_DOCS, BLOCK = 3, 4096, 1024
+SHARD_DOCS, BLOCK = 4096, 1024
 #: Words that are hashed together.
 CHUNK = 32_768
 #: Counters of the sketch and the pieces it is added up in; parts of the hash range for the bounds.
@@ -53,19 +55,38 @@ FOUND = "kind int, element long, id long, other long, n int, place int, bounds b
 _KEY = {ELEMENTS: "V8", SETS: "V16"}
 
 
-def element_sets(texts: Iterable[str | None], hashes: WordHashes) -> Iterator[np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """When documents link: words of a shingle, least similarity in percent."""
+
+    shingle: int = 5
+    percent: int = 80
+
+    def prefix_length(self, n: int) -> int:
+        return n - -(-self.percent * n // 100) + 1
+
+    def linked(self, common, a, b):
+        """100 * common >= percent * (a + b - common), in whole numbers."""
+        return (100 + self.percent) * common >= self.percent * (a + b)
+
+    def near(self, apart, total):
+        """Whether sets of ``total`` elements together, of which ``apart`` at least are in one only, can link."""
+        return (100 + self.percent) * apart <= (100 - self.percent) * total
+
+
+def element_sets(texts: Iterable[str | None], hashes: WordHashes, shingle: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's word runs; the words of several texts are hashed together."""
     held: list[list[bytes]] = []
     size = 0
 
     def close() -> Iterator[np.ndarray]:
         ids = hashes.of(list(chain.from_iterable(held)))
-        runs = shingles(ids, SHINGLE)
+        runs = shingles(ids, shingle)
         start = 0
         for words in held:
             n = len(words)
-            if n >= SHINGLE:
-                x = np.sort(runs[start : start + n - SHINGLE + 1])
+            if n >= shingle:
+                x = np.sort(runs[start : start + n - shingle + 1])
                 yield x[np.concatenate(([True], x[1:] != x[:-1]))]
             else:
                 yield shingles(ids[start : start + n], n, salt=n) if n else np.empty(0, np.uint64)
@@ -80,33 +101,24 @@ def element_sets(texts: Iterable[str | None], hashes: WordHashes) -> Iterator[np
     yield from close()
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-9 * n // 10) + 1
-
-
-def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """100 * common >= 90 * (a + b - common), in whole numbers."""
-    return 19 * common >= 9 * (a + b)
-
-
 def _counter(elements: np.ndarray) -> np.ndarray:
     return (mix(elements ^ U64(0x5851F42D4C957F2D)) >> U64(44)).astype(np.int64)
 
 
-def prefix(elements: np.ndarray, heat: np.ndarray) -> np.ndarray:
+def prefix(elements: np.ndarray, heat: np.ndarray, rule: Rule) -> np.ndarray:
     """The first elements of a set in the common order, in that order."""
     key = heat[_counter(elements)].astype(np.uint64) << U64(58) | elements >> U64(6)
-    return elements[np.argsort(key, kind="stable")[: prefix_length(len(elements))]]
+    return elements[np.argsort(key, kind="stable")[: rule.prefix_length(len(elements))]]
 
 
 # ---------------------------------------------------------------- the sketch
 
 
-def _count(batches):
+def _count(shingle: int, batches):
     claim("jaccard")
     counts, hashes = np.zeros(COUNTERS, np.int64), WordHashes()
     for batch in batches:
-        for elements in element_sets(batch.column(0).to_pylist(), hashes):
+        for elements in element_sets(batch.column(0).to_pylist(), hashes, shingle):
             np.add.at(counts, _counter(elements), 1)
     step = COUNTERS // PIECES
     counts = np.minimum(counts, 2**31 - 1).astype("<i4")
@@ -122,9 +134,9 @@ def _add(batches):
     yield from _table([(p, x.astype("<i8").tobytes()) for p, x in total.items()], "piece int, counts binary").to_batches()
 
 
-def heat_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
+def heat_levels(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarray:
     """For each counter 0, or how often its count doubles four times the mean: from one pass over all documents."""
-    pieces = docs.select(text).mapInArrow(_count, "piece int, counts binary").repartition("piece").mapInArrow(_add, "piece int, counts binary").toArrow()
+    pieces = docs.select(text).mapInArrow(partial(_count, rule.shingle), "piece int, counts binary").repartition("piece").mapInArrow(_add, "piece int, counts binary").toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     step = COUNTERS // PIECES
     for piece, x in zip(pieces["piece"].to_pylist(), pieces["counts"].to_pylist()):
@@ -140,17 +152,17 @@ def _set_hash(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-def _prefixes(count: int, heat):
+def _prefixes(count: int, heat, rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         claim("jaccard")
         hashes, shard = WordHashes(), table.column("shard")[0].as_py()
         sets: dict[bytes, tuple[int, np.ndarray]] = {}
-        for doc, e in zip(table.column("id").to_pylist(), element_sets(table.column("text").to_pylist(), hashes)):
+        for doc, e in zip(table.column("id").to_pylist(), element_sets(table.column("text").to_pylist(), hashes, rule.shingle)):
             if doc is None or not len(e):
                 continue
             h = _set_hash(e)
             if h not in sets:
-                sets[h] = doc, prefix(e, heat.value)
+                sets[h] = doc, prefix(e, heat.value, rule)
             elif doc < sets[h][0]:
                 sets[h] = doc, sets[h][1]
         if not sets:
@@ -218,14 +230,14 @@ def _parts(elements: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((elements >> U64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
 
 
-def _groups(heat):
+def _groups(heat, rule: Rule):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, "<u8") for k, x in zip(answers.column("keys").to_pylist(), answers.column("kind").to_pylist()) if x == ELEMENTS]
         shared = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
         same = [(np.frombuffer(k, "V16"), np.frombuffer(v, "<i8")) for k, v, x in zip(answers.column("keys").to_pylist(), answers.column("low").to_pylist(), answers.column("kind").to_pylist()) if x == SETS]
         first = {k.tobytes(): int(d) for ks, ds in same for k, d in zip(ks, ds)}
         hashes, rows, done = WordHashes(), [], set()
-        sets = [(doc, e, _set_hash(e) if len(e) else b"") for doc, e in zip(docs.column("id").to_pylist(), element_sets(docs.column("text").to_pylist(), hashes))]
+        sets = [(doc, e, _set_hash(e) if len(e) else b"") for doc, e in zip(docs.column("id").to_pylist(), element_sets(docs.column("text").to_pylist(), hashes, rule.shingle))]
         for doc, _, h in sets:
             if doc is not None and h:
                 first[h] = min(doc, first.get(h, doc))
@@ -236,7 +248,7 @@ def _groups(heat):
             if doc is None or not h or rep != doc or h in done:
                 continue
             done.add(h)
-            p = prefix(e, heat.value)
+            p = prefix(e, heat.value, rule)
             i = np.minimum(np.searchsorted(shared, p), max(len(shared) - 1, 0))
             at = np.flatnonzero(shared[i] == p) if len(shared) else np.empty(0, int)
             if not len(at):
@@ -291,7 +303,7 @@ def _edges(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root.tolist()) if i != r]
 
 
-def _filter(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+def _filter(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     """Group pairs of one element that pass size, place and bounds."""
     block, ids, n, place, bounds = zip(*rows)
     block, ids, n, place = np.array(block), np.array(ids), np.array(n), np.array(place)
@@ -299,7 +311,7 @@ def _filter(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     total = n[:, None] + n[None, :]
     after = n - place - 1
     most = np.minimum(place[:, None], place[None, :]) + 1 + np.minimum(after[:, None], after[None, :])
-    ok = (10 * np.minimum(n[:, None], n[None, :]) >= 9 * np.maximum(n[:, None], n[None, :])) & linked(most, n[:, None], n[None, :])
+    ok = (100 * np.minimum(n[:, None], n[None, :]) >= rule.percent * np.maximum(n[:, None], n[None, :])) & rule.linked(most, n[:, None], n[None, :])
     if key[1] != key[2]:
         ok &= block[:, None] != block[None, :]
     for at in range(0, len(ids), 64):
@@ -307,12 +319,12 @@ def _filter(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
         for s in range(0, len(i), 200_000):
             a, b = i[s : s + 200_000] + at, j[s : s + 200_000]
             apart = np.maximum(np.maximum(x[a, 0] - x[b, 1], x[b, 0] - x[a, 1]), 0).sum(axis=1)
-            ok[a, b] = 19 * apart <= total[a, b]
+            ok[a, b] = rule.near(apart, total[a, b])
     np.fill_diagonal(ok, False)
     return _edges(ids, ok | ok.T) if ok.any() else []
 
 
-def _verify(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+def _verify(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     """Exact links among the members of a cluster, or between two of its blocks."""
     block, ids, sets = zip(*rows)
     block, ids = np.array(block), np.array(ids)
@@ -336,7 +348,7 @@ def _verify(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
             x = np.zeros((len(ids), 4096), np.float32)
             x[owner[s:e], column[s:e] - 4096 * k] = 1
             common += x @ x.T
-    ok = linked(common.astype(np.int64), n[:, None], n[None, :])
+    ok = rule.linked(common.astype(np.int64), n[:, None], n[None, :])
     if key[1] != key[2]:
         ok &= block[:, None] != block[None, :]
     np.fill_diagonal(ok, False)
@@ -350,35 +362,35 @@ def _dealt(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
-def _whole_sets(batches):
+def _whole_sets(shingle: int, batches):
     hashes = WordHashes()
     for batch in batches:
-        sets = [e.astype("<u8").tobytes() for e in element_sets(batch.column(2).to_pylist(), hashes)]
+        sets = [e.astype("<u8").tobytes() for e in element_sets(batch.column(2).to_pylist(), hashes, shingle)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["cluster", "id", "elements"])
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    heat = spark.sparkContext.broadcast(heat_levels(rows))
+    heat = spark.sparkContext.broadcast(heat_levels(rows, rule))
     shards = max(1, -(-rows.count() // SHARD_DOCS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    packed = dealt.groupBy("shard").applyInArrow(_prefixes(shards, heat), PACKED)
+    packed = dealt.groupBy("shard").applyInArrow(_prefixes(shards, heat, rule), PACKED)
     answers = packed.repartition("bucket").sortWithinPartitions("bucket", "kind", "shard").mapInArrow(_meet, ANSWER)
-    found = materialise(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_groups(heat), FOUND), "groups")
+    found = materialise(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_groups(heat, rule), FOUND), "groups")
 
     groups = found.filter(F.col("kind") == GROUP).select("element", "id", "n", "place", "bounds")
     sizes = groups.groupBy("element").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     met = _dealt(groups, "element", sizes).select("element", "i", "j", "block", "id", "n", "place", "bounds")
-    ties = met.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j", "id").mapInArrow(_streamed(8, _filter), "a long, b long")
+    ties = met.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j", "id").mapInArrow(_streamed(8, partial(_filter, rule)), "a long, b long")
     members = found.filter(F.col("kind") == MEMBER).select(F.col("id").alias("a"), F.col("other").alias("b"))
     clusters = components(ties.unionAll(members)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
-    sets = rows.join(clusters, "id").select("cluster", "id", "text").mapInArrow(_whole_sets, "cluster long, id long, elements binary").dropDuplicates(["cluster", "id"])
+    sets = rows.join(clusters, "id").select("cluster", "id", "text").mapInArrow(partial(_whole_sets, rule.shingle), "cluster long, id long, elements binary").dropDuplicates(["cluster", "id"])
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     expanded = _dealt(sets, "cluster", sizes).select("cluster", "i", "j", "block", "id", "elements")
-    links = expanded.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(_streamed(6, _verify), "a long, b long")
+    links = expanded.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(_streamed(6, partial(_verify, rule)), "a long, b long")
     joined = components(links)
 
     everyone = found.filter(F.col("kind") == DOC).select("id", "other", "n")
@@ -386,5 +398,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "other", "id").alias("component_id"))
 
 
+#: The rule of the query: three words, 90 percent.
+CONTRACT = Rule(3, 90)
+
+
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir), CONTRACT)

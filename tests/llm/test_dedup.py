@@ -8,11 +8,11 @@ from graphloom.llm.components import components
 from graphloom.llm.textkit import encode
 
 
-def sets_of(rows):
+def sets_of(rows, n):
     out = defaultdict(list)
     for i, t in rows:
         w = encode(t).lower().split()
-        out[i].append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
+        out[i].append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
     return out
 
 
@@ -28,20 +28,20 @@ def smallest_reachable(nodes, links):
     return label
 
 
-def expected_components(rows):
-    sets = {i: s[0] for i, s in sets_of(rows).items() if i is not None}
+def expected_components(rows, rule=jaccard_join.CONTRACT):
+    sets = {i: s[0] for i, s in sets_of(rows, rule.shingle).items() if i is not None}
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= rule.percent * len(sets[a] | sets[b])]
     return smallest_reachable(ids, links), sets, links
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_jaccard_against_all_pairs(spark, make_docs, prose, odd_texts, block, monkeypatch):
+@pytest.mark.parametrize("block, rule", [(1024, jaccard_join.CONTRACT), (4, jaccard_join.CONTRACT), (4, jaccard_join.Rule())])
+def test_jaccard_against_all_pairs(spark, make_docs, prose, odd_texts, block, rule, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = prose + odd_texts
-    label, sets, links = expected_components(rows)
+    label, sets, links = expected_components(rows, rule)
     assert len(links) > 10
-    got = jaccard_join.jaccard_components(make_docs(rows)).collect()
+    got = jaccard_join.jaccard_components(make_docs(rows), rule).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
     for r in got:
         if r.doc_id is None:
@@ -53,7 +53,7 @@ def test_jaccard_against_all_pairs(spark, make_docs, prose, odd_texts, block, mo
 def test_jaccard_over_many_shards(spark, make_docs, prose, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHARD_DOCS", 9)
     label, _, _ = expected_components(prose)
-    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(make_docs(prose)).collect()} == label
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(make_docs(prose), jaccard_join.CONTRACT).collect()} == label
     assert jaccard_join.jaccard_components(make_docs([])).count() == 0
 
 
