@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -167,20 +168,20 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
 _encoders: dict[str, WordBpe] = {}
 
 
-def encoder_for(path: str | None = None) -> Callable[[], WordBpe]:
-    """The tokenizer at ``path`` (the public word-end file by default), opened where it is used and kept by the worker."""
+def opened(path: str | None) -> WordBpe:
+    """The tokenizer at a path, kept by the worker process; a function of the module, so that tasks share what it keeps."""
+    if path is None:
+        import public_tokenizers
 
-    def opened() -> WordBpe:
-        where = path
-        if where is None:
-            import public_tokenizers
+        path = public_tokenizers.path(TOKENIZER)
+    if path not in _encoders:
+        _encoders[path] = WordBpe(path)
+    return _encoders[path]
 
-            where = public_tokenizers.path(TOKENIZER)
-        if where not in _encoders:
-            _encoders[where] = WordBpe(where)
-        return _encoders[where]
 
-    return opened
+def encoder_for(path: str | None = None) -> Callable[[], WordBpe]:
+    """Opens the tokenizer at ``path`` (the public word-end file by default) where it is used."""
+    return partial(opened, path)
 
 
 def op9_packing_bm25(spark, sf_dir: str) -> DataFrame:
