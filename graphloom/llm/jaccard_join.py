@@ -42,7 +42,7 @@ from graphloom.llm.repeats import ANSWER, _bucket_of, _pack, _table
 from graphloom.llm.shared import documents, materialise
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles
 
-SHARD_DOCS, BLOCK = 4096, 1024
+SHARD_DOCS, BLOCK = 2048, 1024
 #: Words that are hashed together.
 CHUNK = 32_768
 #: Counters of the sketch and the pieces it is added up in; parts of the hash range for the bounds.

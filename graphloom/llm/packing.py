@@ -34,6 +34,8 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
 #: BM25 settings; terms of a seed that are looked up; the share of a shard's documents beyond which a term isn't; neighbours kept.
 K1, B, QUERY_TERMS, COMMON, NEIGHBOURS = 1.2, 0.75, 12, 0.1, 64
 TOKENIZER = "word_bpe_49k.json"
+#: Units that a worker remembers between tasks.
+UNITS = 1_000_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -165,23 +167,23 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
-_encoders: dict[str, WordBpe] = {}
+_encoders: dict[tuple[str, int], WordBpe] = {}
 
 
-def opened(path: str | None) -> WordBpe:
+def opened(path: str | None, limit: int) -> WordBpe:
     """The tokenizer at a path, kept by the worker process; a function of the module, so that tasks share what it keeps."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if path not in _encoders:
-        _encoders[path] = WordBpe(path)
-    return _encoders[path]
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = WordBpe(path, limit)
+    return _encoders[path, limit]
 
 
-def encoder_for(path: str | None = None) -> Callable[[], WordBpe]:
-    """Opens the tokenizer at ``path`` (the public word-end file by default) where it is used."""
-    return partial(opened, path)
+def encoder_for(path: str | None = None, units: int = UNITS) -> Callable[[], WordBpe]:
+    """Opens the tokenizer at ``path`` (the public word-end file by default) where it is used; it remembers ``units`` at most."""
+    return partial(opened, path, units)
 
 
 def op9_packing_bm25(spark, sf_dir: str) -> DataFrame:

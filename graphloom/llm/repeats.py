@@ -40,7 +40,7 @@ from graphloom.llm.memos import claim
 from graphloom.llm.shared import documents
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles, sliding_min
 
-WINDOW, PHRASE, SHARD_DOCS = 50, 5, 4096
+WINDOW, PHRASE, SHARD_DOCS = 50, 5, 2048
 #: Characters that stand for a word in the automaton's texts and bits of each; words hashed together.
 LETTERS, LETTER_BITS, CHUNK = 3, 6, 32_768
 PHRASES, COPIES, WINDOWS = 0, 1, 2
