@@ -144,6 +144,7 @@ def train(docs: DataFrame, keep: Column | None = None) -> Centroids:
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
     def run(batches):
+        claim("language")
         for batch in batches:
             tf = matrix(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.minimum(r, 65535).astype("<u2").tobytes() for r in tf], pa.binary())], names=["lang", "tf"])

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from graphloom.llm.memos import claim
+from graphloom.llm.sampling import give_back_memory
 from graphloom.llm.shared import documents
 from graphloom.llm.word_bpe import WordBpe
 
@@ -125,8 +126,12 @@ def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         sequence += 1
 
 
-def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece; sequence ids are unique over the table."""
+def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """One row per piece; sequence ids are unique over the table.
+
+    With ``keep`` a worker remembers the words that it has learnt for its next task:
+    faster, but not for a job whose workers have other work to do in that memory.
+    """
 
     def run(batches):
         bpe = encoder()
@@ -163,6 +168,10 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
                         keys, docs, tokens = [], [], 0
         if docs:
             yield flush()
+        if not keep:
+            docs.clear()
+            bpe.forget()
+            give_back_memory()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
@@ -187,4 +196,4 @@ def encoder_for(path: str | None = None, units: int = UNITS) -> Callable[[], Wor
 
 
 def op9_packing_bm25(spark, sf_dir: str) -> DataFrame:
-    return pack_table(documents(spark, sf_dir), encoder_for())
+    return pack_table(documents(spark, sf_dir), encoder_for(), keep=True)
