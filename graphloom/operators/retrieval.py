@@ -31,7 +31,7 @@ def bm25(terms: DataFrame, tf: DataFrame, top: int = 100, k1: float = K1, b: flo
 def identifier_search(issues: DataFrame, texts: DataFrame, names: DataFrame, top: int = 100) -> DataFrame:
     """qid, file, score, rank: ln(n / (1 + df)) over the identifiers that a file has, plus 2 where one and the file's name contain each other."""
     asked = issues.select("qid", F.explode(code_identifiers(F.col("text"))).alias("ident")).distinct()
-    held = texts.select("file", F.explode(F.array_distinct(identifiers(F.col("text")))).alias("ident")).join(F.broadcast(asked.select("ident").distinct()), "ident", "left_semi")
+    held = texts.select("file", F.explode(F.array_distinct(identifiers(F.col("text")))).alias("ident")).join(asked.select("ident").distinct(), "ident", "left_semi")
     n = texts.agg(F.count(F.lit(1)).alias("n"))
     df = held.groupBy("ident").agg(F.count(F.lit(1)).alias("df"))
     base = held.join(df, "ident").join(F.broadcast(n)).withColumn("idf", F.ln(F.col("n") / (1 + F.col("df"))))
@@ -47,7 +47,7 @@ def path_tokens(terms: DataFrame, tree: DataFrame, top: int = 60) -> DataFrame:
     """qid, file, score, rank: common terms of query and path over 1 + ln(1 + terms of the path)."""
     split = F.array_distinct(F.filter(subtokens(F.translate("path", "/.", "__")), is_term))
     toks = tree.select("file", split.alias("toks"))
-    hits = toks.select("file", F.size("toks").alias("n"), F.explode("toks").alias("term")).join(F.broadcast(terms), "term")
+    hits = toks.select("file", F.size("toks").alias("n"), F.explode("toks").alias("term")).join(terms, "term")
     scored = hits.groupBy("qid", "file", "n").agg(F.count(F.lit(1)).alias("k"))
     return ranked(scored.select("qid", "file", F.round(F.col("k") / (1 + F.ln(1.0 + F.col("n"))), 6).alias("score")), top)
 
@@ -62,7 +62,7 @@ def quoted_paths(issues: DataFrame, tree: DataFrame, top: int = 10) -> DataFrame
     parts = F.split("path", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     ends = tree.select("file", "path", F.explode(suffixes).alias("cand"))
-    met = ends.join(F.broadcast(said), "cand").groupBy("qid", "file", "path").agg(F.min("at").alias("at"))
+    met = ends.join(said, "cand").groupBy("qid", "file", "path").agg(F.min("at").alias("at"))
     w = W.partitionBy("qid").orderBy("at", "path")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("qid", "file", "rank")
 

@@ -89,7 +89,7 @@ class Model:
         inner = F.slice(words(F.col("needle")), 2, 4)  # whole words of the passage
         asked = self.issues.select("qid", needle.alias("needle")).withColumn("run", F.array_join(inner, " "))
         held = self.texts.select("file", "text", F.explode(F.array_distinct(runs(words(F.col("text"))))).alias("run"))
-        found = held.join(F.broadcast(asked), "run").filter(F.col("text").contains(F.col("needle")))
+        found = held.join(asked, "run").filter(F.col("text").contains(F.col("needle")))
         return found.select("qid", "file").distinct()
 
 
