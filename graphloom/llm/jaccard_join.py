@@ -260,7 +260,7 @@ def _groups(heat, rule: Rule):
             np.maximum(group[4], x, out=group[4])
             group[5].append(doc)
         for (n, _), (lead, p, at, low, high, members) in groups.items():
-            bounds = low.tobytes() + high.tobytes()
+            bounds = low.tobytes() if len(members) == 1 else low.tobytes() + high.tobytes()
             rows += [(GROUP, int(v), lead, None, n, int(k), bounds) for k, v in zip(at.tolist(), p[at].view(np.int64).tolist())]
             rows += [(MEMBER, None, m, lead, None, None, None) for m in members if m != lead]
         return _table(rows, FOUND)
@@ -307,7 +307,7 @@ def _filter(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     """Group pairs of one element that pass size, place and bounds."""
     block, ids, n, place, bounds = zip(*rows)
     block, ids, n, place = np.array(block), np.array(ids), np.array(n), np.array(place)
-    x = np.frombuffer(b"".join(bounds), np.uint8).reshape(len(ids), 2, PARTS).astype(np.int16)
+    x = np.frombuffer(b"".join(b if len(b) > PARTS else b + b for b in bounds), np.uint8).reshape(len(ids), 2, PARTS).astype(np.int16)
     total = n[:, None] + n[None, :]
     after = n - place - 1
     most = np.minimum(place[:, None], place[None, :]) + 1 + np.minimum(after[:, None], after[None, :])
@@ -355,10 +355,15 @@ def _verify(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     return _edges(ids, ok) if ok.any() else []
 
 
-def _dealt(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Rows of each key, in pairs of blocks where there are more than ``BLOCK`` of them."""
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    out = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+def _dealt(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of each key, in pairs of blocks where ``ids`` has more than ``BLOCK`` of them.
+
+    Only the large keys are joined, from a table of their own: small, it is broadcast
+    by Spark's own check, and the rows are shuffled once.
+    """
+    large = materialise(ids.groupBy(key).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "large")
+    parts = F.ceil(F.coalesce(F.col("m"), F.lit(1)) / BLOCK).cast("int")
+    out = rows.join(large, key, "left").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
@@ -381,15 +386,15 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id"
     found = materialise(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_groups(heat, rule), FOUND), "groups")
 
     groups = found.filter(F.col("kind") == GROUP).select("element", "id", "n", "place", "bounds")
-    sizes = groups.groupBy("element").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = _dealt(groups, "element", sizes).select("element", "i", "j", "block", "id", "n", "place", "bounds")
+    met = _dealt(groups, "element", groups.select("element")).select("element", "i", "j", "block", "id", "n", "place", "bounds")
     ties = met.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j", "id").mapInArrow(_streamed(8, partial(_filter, rule)), "a long, b long")
     members = found.filter(F.col("kind") == MEMBER).select(F.col("id").alias("a"), F.col("other").alias("b"))
     clusters = components(ties.unionAll(members)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
-    sets = rows.join(clusters, "id").select("cluster", "id", "text").mapInArrow(partial(_whole_sets, rule.shingle), "cluster long, id long, elements binary").dropDuplicates(["cluster", "id"])
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    expanded = _dealt(sets, "cluster", sizes).select("cluster", "i", "j", "block", "id", "elements")
+    clusters = materialise(clusters, "clusters")
+    members = rows.join(clusters, "id").dropDuplicates(["id"]).select("cluster", "id", "text")
+    sets = members.mapInArrow(partial(_whole_sets, rule.shingle), "cluster long, id long, elements binary")
+    expanded = _dealt(sets, "cluster", clusters.select("cluster")).select("cluster", "i", "j", "block", "id", "elements")
     links = expanded.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(_streamed(6, partial(_verify, rule)), "a long, b long")
     joined = components(links)
 
