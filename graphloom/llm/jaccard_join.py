@@ -9,8 +9,8 @@ element among the first ``n - ceil(percent / 100 * n) + 1`` of each (the *prefix
 1. Equal sets are collapsed; of the rest, prefix elements that two documents have
    are found over all shards.
 2. Documents of a shard with the same prefix and size become one group, with the
-   least and most elements that its members have in each of ``PARTS`` parts of the
-   hash range. Groups that share a prefix element are compared by size, by place of
+   least and most elements that its members have in each part of the hash range
+   (more parts for larger sets). Groups that share a prefix element are compared by size, by place of
    the element and by those bounds; what passes ties groups to clusters.
 3. Clusters are expanded: their members' whole sets meet and are verified exactly, as
    counts of common elements by matrix products. Links become components.
@@ -46,7 +46,7 @@ SHARD_DOCS, BLOCK = 2048, 1024
 #: Words that are hashed together.
 CHUNK = 32_768
 #: Counters of the sketch and the pieces it is added up in; parts of the hash range for the bounds.
-COUNTERS, PIECES, PARTS = 1 << 20, 64, 64
+COUNTERS, PIECES, PARTS = 1 << 20, 64, (64, 256, 1024)
 ELEMENTS, SETS = 0, 1
 DOC, GROUP, MEMBER = 0, 1, 2
 
@@ -226,8 +226,25 @@ def _meet(batches):
 # ---------------------------------------------------------------- groups
 
 
+def _parts_for(n: int) -> int:
+    """Parts of a set of ``n`` elements: enough for unrelated sets to differ by more than linked ones may."""
+    return PARTS[0] if n < 1000 else PARTS[1] if n < 4000 else PARTS[2]
+
+
 def _parts(elements: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((elements >> U64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
+    k = _parts_for(len(elements))
+    return np.minimum(np.bincount((elements >> U64(64 - (k.bit_length() - 1))).astype(np.int64), minlength=k), 255).astype(np.uint8)
+
+
+def _folded(bounds: tuple[bytes, ...], sizes: np.ndarray, k: int) -> np.ndarray:
+    """Least and most elements in ``k`` parts, of the rows that have as many parts; 0 for others."""
+    out = np.zeros((len(bounds), 2, k), np.int16)
+    for i, (b, n) in enumerate(zip(bounds, sizes.tolist())):
+        own = _parts_for(n)
+        if own >= k:
+            x = np.frombuffer(b if len(b) > own else b + b, np.uint8).reshape(2, k, own // k)
+            out[i] = x.sum(axis=2)
+    return out
 
 
 def _groups(heat, rule: Rule):
@@ -307,17 +324,21 @@ def _filter(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     """Group pairs of one element that pass size, place and bounds."""
     block, ids, n, place, bounds = zip(*rows)
     block, ids, n, place = np.array(block), np.array(ids), np.array(n), np.array(place)
-    x = np.frombuffer(b"".join(b if len(b) > PARTS else b + b for b in bounds), np.uint8).reshape(len(ids), 2, PARTS).astype(np.int16)
     total = n[:, None] + n[None, :]
     after = n - place - 1
     most = np.minimum(place[:, None], place[None, :]) + 1 + np.minimum(after[:, None], after[None, :])
     ok = (100 * np.minimum(n[:, None], n[None, :]) >= rule.percent * np.maximum(n[:, None], n[None, :])) & rule.linked(most, n[:, None], n[None, :])
     if key[1] != key[2]:
         ok &= block[:, None] != block[None, :]
-    for at in range(0, len(ids), 64):
-        i, j = np.nonzero(ok[at : at + 64])
-        for s in range(0, len(i), 200_000):
-            a, b = i[s : s + 200_000] + at, j[s : s + 200_000]
+    own = np.array([_parts_for(k) for k in n.tolist()])
+    for k in PARTS:
+        if not (own >= k).any():
+            break
+        x = _folded(bounds, n, k)
+        i, j = np.nonzero(ok & (own >= k)[:, None] & (own >= k)[None, :])
+        step = (1 << 23) // k
+        for s in range(0, len(i), step):
+            a, b = i[s : s + step], j[s : s + step]
             apart = np.maximum(np.maximum(x[a, 0] - x[b, 1], x[b, 0] - x[a, 1]), 0).sum(axis=1)
             ok[a, b] = rule.near(apart, total[a, b])
     np.fill_diagonal(ok, False)

@@ -57,6 +57,22 @@ def test_jaccard_over_many_shards(spark, make_docs, prose, monkeypatch):
     assert jaccard_join.jaccard_components(make_docs([])).count() == 0
 
 
+def test_bounds_of_large_sets(spark, make_docs):
+    """Large copies with edits link at 80 percent although their bounds have more parts."""
+    r = np.random.default_rng(8)
+    base = [f"w{k}" for k in r.integers(0, 4000, 5200)]
+    rows = []
+    for i, edits in enumerate((0, 40, 120, 420, 5200)):
+        w = list(base)
+        for k in r.choice(len(w), edits, replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(10 + i, " ".join(base[: 990 + 5 * i])) for i in range(5)]
+    label, _, links = expected_components(rows, jaccard_join.Rule())
+    assert len(links) > 8
+    assert {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(make_docs(rows)).collect()} == label
+
+
 def removed(rows, window):
     words = [(i, encode(t).split()) for i, t in rows]
     first: dict = {}
