@@ -32,8 +32,10 @@ from graphloom.llm.word_bpe import WordBpe
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
-#: BM25 settings; terms of a seed that are looked up; the share of a shard's documents beyond which a term isn't; neighbours kept.
-K1, B, QUERY_TERMS, COMMON, NEIGHBOURS = 1.2, 0.75, 12, 0.1, 64
+#: BM25 settings.
+K1, B = 1.2, 0.75
+#: Every term of a seed is looked up, however common; plain scoring in the tests reads these.
+QUERY_TERMS, COMMON = None, 1.0
 TOKENIZER = "word_bpe_49k.json"
 #: Units that a worker remembers between tasks.
 UNITS = 1_000_000
@@ -59,7 +61,7 @@ class Bm25:
         self.idf = np.log((n - df + 0.5) / (df + 0.5) + 1).astype(np.float32)
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
         weight = self.idf[t] * c * (K1 + 1) / (c + norm[d])
-        self.useful = (df > 1) & (df <= max(2, COMMON * n))
+        self.useful = df > 1  # a term of one document leads to no other
         keep = self.useful[t]
         order = np.argsort(t[keep], kind="stable")
         self.docs, self.weights = d[keep][order], weight[keep][order]
@@ -67,21 +69,16 @@ class Bm25:
         self.terms, self.counts, self.n = terms, counts, n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score (then by place); none that shares no useful term."""
-        t, c = self.terms[seed], self.counts[seed]
-        ok = self.useful[t]
-        t, c = t[ok], c[ok]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argsort(-self.idf[t] * np.minimum(c, 3), kind="stable")[:QUERY_TERMS]]
-        spans = [(self.begin[x], self.begin[x + 1]) for x in t.tolist()]
+        """All unused documents that share a term, by falling score (then by place)."""
+        t = self.terms[seed]
+        t = t[self.useful[t]]
+        spans = list(zip(self.begin[t].tolist(), self.begin[t + 1].tolist()))
         if not spans:
             return np.empty(0, np.int64)
         found = np.concatenate([self.docs[a:b] for a, b in spans])
         score = np.bincount(found, weights=np.concatenate([self.weights[a:b] for a, b in spans]), minlength=self.n)
         hits = np.flatnonzero((score > 0) & unused)
-        if len(hits) > NEIGHBOURS:
-            hits = hits[np.argpartition(-score[hits], NEIGHBOURS)[:NEIGHBOURS]]
-        return hits[np.lexsort((hits, -score[hits]))]
+        return hits[np.argsort(-score[hits], kind="stable")]
 
 
 def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:

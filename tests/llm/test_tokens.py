@@ -103,3 +103,12 @@ def test_neighbours_are_those_of_plain_scoring():
         got = index.neighbours(seed, unused)
         assert set(got) == set(np.flatnonzero((score > 0) & unused))
         assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("others", [1, 20])
+def test_windows_take_all_neighbours(others):
+    """A group of short documents, a half or a twentieth of the shard: one window needs more than a hundred of them."""
+    groups = [d % (others + 1) for d in range(150 * (others + 1))]
+    docs = [np.arange(10 + 40 * g, 40 + 40 * g, dtype=np.uint32) for g in groups]
+    first = {doc for doc, _, _, sequence, _ in packing.pack(docs) if sequence == 0}
+    assert len(first) > 128 and {groups[d] for d in first} == {0}
