@@ -1,7 +1,10 @@
 """Packing by lexical retrieval: fill each training window with the neighbours of its seed document.
 
-Documents are dealt to shards by the partition they are read in, ``SHARD_DOCS``
-documents or ``SHARD_TOKENS`` tokens at most, so no text is shuffled. A shard has a
+Documents are dealt to shards by content: in the order of their ``TELLING`` most
+telling terms over the whole table, the most widespread of these first, neighbours
+make up shards of ``SHARD_DOCS`` documents or ``SHARD_TOKENS`` tokens at most,
+wherever they were read. So copies and documents of one subject come together, but a
+seed searches its shard only. A table of one shard is searched whole. A shard has a
 BM25 inverted index over token ids. A window of ``WINDOW`` tokens starts with the
 next unused document as seed (or the rest of the one that the last window cut); the
 index returns its best unused neighbours, which fill the window in order of score,
@@ -23,15 +26,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.memos import claim
 from graphloom.llm.sampling import give_back_memory
-from graphloom.llm.shared import documents
+from graphloom.llm.shared import documents, materialise
 from graphloom.llm.word_bpe import WordBpe
 
 WINDOW, END_ID = 4096, 2
-SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
+SHARD_DOCS, SHARD_TOKENS, TELLING = 4096, 6_000_000, 8
+#: Partitions for each full shard: ranges are cut by a sample, so they differ in size.
+SPARE = 1.25
 #: BM25 settings.
 K1, B = 1.2, 0.75
 #: Every term of a seed is looked up, however common; plain scoring in the tests reads these.
@@ -64,14 +69,19 @@ class Bm25:
         self.useful = df > 1  # a term of one document leads to no other
         keep = self.useful[t]
         order = np.argsort(t[keep], kind="stable")
-        self.docs, self.weights = d[keep][order], weight[keep][order]
+        self.docs, self.weights = d[keep][order], weight[keep][order].astype(float)
         self.begin = np.concatenate(([0], np.cumsum(np.where(self.useful, df, 0))))
-        self.terms, self.counts, self.n = terms, counts, n
+        self.terms, self.n = [x[self.useful[x]] for x in terms], n
+
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Take the postings of used documents out; weights stay those of the whole shard."""
+        keep = unused[self.docs]
+        self.begin = np.concatenate(([0], np.cumsum(keep)))[self.begin]
+        self.docs, self.weights = self.docs[keep], self.weights[keep]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents that share a term, by falling score (then by place)."""
         t = self.terms[seed]
-        t = t[self.useful[t]]
         spans = list(zip(self.begin[t].tolist(), self.begin[t + 1].tolist()))
         if not spans:
             return np.empty(0, np.int64)
@@ -84,7 +94,7 @@ class Bm25:
 def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard."""
     index = Bm25(docs)
-    unused = np.ones(len(docs), bool)
+    unused, indexed = np.ones(len(docs), bool), len(docs)
     upcoming = 0
     left = sum(map(len, docs))
     sequence, carried = 0, None
@@ -115,6 +125,9 @@ def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
             if offset == room:
                 break
             if queue is None:
+                if 8 * unused.sum() <= 7 * indexed:
+                    index.drop_used(unused)
+                    indexed = unused.sum()
                 queue = iter(index.neighbours(seed, unused).tolist())
             doc = next(queue, None)
             doc = next_unused() if doc is None else doc
@@ -123,6 +136,79 @@ def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         sequence += 1
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids in two bytes each where they fit."""
+    x = np.frombuffer(ids, "<u4")
+    return x.astype("<u2").tobytes() if x.max() < 1 << 16 else ids
+
+
+def widened(ids: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4", copy=False)
+
+
+def telling(ids: np.ndarray, df: np.ndarray, n: int, mean: float) -> list[int]:
+    """The terms that weigh most among those that other documents have too, the most widespread first."""
+    t, c = np.unique(ids, return_counts=True)
+    shared = df[t] > 1
+    t, c = t[shared], c[shared]
+    weight = np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * c / (c + K1 * (1 - B + B * len(ids) / mean))
+    t = t[np.argsort(-weight, kind="stable")[:TELLING]]
+    return t[np.lexsort((t, -df[t]))].tolist()
+
+
+def encoded_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str, text: str, keep: bool) -> DataFrame:
+    """``key``, n, ids of every row, end id included."""
+
+    def run(batches):
+        bpe = encoder()
+        claim("word_bpe", bpe.forget)
+        end = np.array([END_ID], "<u4").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = [x + end for x in bpe.encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(narrow, ids)), pa.binary())], names=[key, "n", "ids"])
+        if not keep:
+            bpe.forget()
+            give_back_memory()
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n long, ids binary")
+
+
+def dealt(encoded: DataFrame, key: str) -> DataFrame:
+    """The rows of ``encoded_table`` in the order of their telling terms, by ranges of about a shard."""
+
+    def count(batches):
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = np.unique(widened(ids, n))
+                if t[-1] >= len(df):
+                    df = np.concatenate((df, np.zeros(int(t[-1]) + 1 - len(df), np.int64)))
+                df[t] += 1
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(df[t], pa.int64())], names=["term", "df"])
+
+    n, tokens = encoded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # as many rows as the tokenizer has ids
+    table = encoded.select("n", "ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(max(table["term"].to_pylist(), default=0) + 1, np.int64)
+    df[table["term"].to_numpy()] = table["df"].to_numpy()
+    shared, mean = encoded.sparkSession.sparkContext.broadcast(df), tokens / max(n, 1)
+
+    def sign(batches):
+        for batch in batches:
+            found = [telling(widened(ids, k), shared.value, n, mean) for k, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[key, "n", "ids", "telling"])
+
+    signed = encoded.mapInArrow(sign, f"`{key}` {encoded.schema[key].dataType.simpleString()}, n long, ids binary, telling array<long>")
+    full = max(n / SHARD_DOCS, tokens / SHARD_TOKENS)
+    parts = 1 if full <= 1 else int(np.ceil(full * SPARE))
+    # equal documents are told apart by a hash, so that a large group of copies is cut too
+    order = ["telling", F.xxhash64("ids", key)]
+    return signed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(key, "n", "ids")
+
+
 def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """One row per piece; sequence ids are unique over the table.
 
@@ -131,20 +217,15 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
     """
 
     def run(batches):
-        bpe = encoder()
-        claim("word_bpe", bpe.forget)
-        encode = bpe.encode
         base = TaskContext.get().partitionId() << 33
         keys, docs, tokens, sequences = [], [], 0, 0
-        end = np.array([END_ID], "<u4").tobytes()
 
         def flush():
             nonlocal sequences
             columns = [[] for _ in range(7)]
             last = -1
-            arrays = [np.frombuffer(d, "<u4") for d in docs]
-            for doc, start, length, sequence, offset in pack(arrays):
-                row = (keys[doc], start, length, zlib.crc32(docs[doc][4 * start : 4 * (start + length)]), len(arrays[doc]), base + sequences + sequence, offset)
+            for doc, start, length, sequence, offset in pack(docs):
+                row = (keys[doc], start, length, zlib.crc32(docs[doc][start : start + length]), len(docs[doc]), base + sequences + sequence, offset)
                 for column, value in zip(columns, row):
                     column.append(value)
                 last = sequence
@@ -154,23 +235,20 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    keys.append(k)
-                    docs.append(ids + end)
-                    tokens += len(ids) // 4 + 1
-                    if len(docs) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                        yield flush()
-                        keys, docs, tokens = [], [], 0
+            for k, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                keys.append(k)
+                docs.append(widened(ids, n))
+                tokens += n
+                if len(docs) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
+                    yield flush()
+                    keys, docs, tokens = [], [], 0
         if docs:
             yield flush()
-        if not keep:
-            docs.clear()
-            bpe.forget()
-            give_back_memory()
+        docs.clear()
+        give_back_memory()
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+    encoded = materialise(encoded_table(df, encoder, key, text, keep), "ids")
+    return dealt(encoded, key).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
 _encoders: dict[tuple[str, int], WordBpe] = {}

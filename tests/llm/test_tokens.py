@@ -112,3 +112,18 @@ def test_windows_take_all_neighbours(others):
     docs = [np.arange(10 + 40 * g, 40 + 40 * g, dtype=np.uint32) for g in groups]
     first = {doc for doc, _, _, sequence, _ in packing.pack(docs) if sequence == 0}
     assert len(first) > 128 and {groups[d] for d in first} == {0}
+
+
+def test_neighbours_meet_across_partitions(spark, make_docs, monkeypatch):
+    """Five subjects, each over all partitions: windows hold one subject, and two where a subject ends."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    r = random.Random(5)
+    words = [["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20)] for _ in range(5)]
+    rows = [(i, " ".join(r.sample(words[i % 5], 20) * 10)) for i in range(400)]
+    pieces = packing.pack_table(make_docs(rows).repartition(8, "doc_id"), packing.encoder_for()).collect()
+    assert sum(p.length for p in pieces if p.start == 0) > 0 and {p.doc_id for p in pieces} == {i for i, _ in rows}
+    subjects: dict = {}
+    for p in pieces:
+        subjects.setdefault(p.sequence_id, set()).add(p.doc_id % 5)
+    mixed = [s for s, found in subjects.items() if len(found) > 1]
+    assert len(mixed) < len(subjects) / 10, (len(mixed), len(subjects))
