@@ -12,15 +12,19 @@ Identical vectors are collapsed first and counted back. A filter with more than
 pair that meets in several filters counts in the first of them; each task sends
 counts and the forest of its links, not its pairs.
 
-Defined results: null, zero and non-finite vectors (or ones of another length than
-the longest in use) link with nothing and are their own component; rows with the
-same id count once (the smallest vector of them); an empty table gives no row; a
-null id is a row of its own without links. Other columns are ignored.
+Vectors of each length have a code of their own, and the length is part of the name
+of a filter, so only vectors of one length meet.
+
+Defined results: null, zero and non-finite vectors link with nothing and are their
+own component; vectors of different lengths don't link; rows with the same id count
+once (the smallest vector of them); an empty table gives no row; a null id is a row
+of its own without links. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 from statistics import NormalDist
 
 import numpy as np
@@ -33,6 +37,8 @@ from graphloom.llm.shared import materialise
 #: Filters that a vector exceeds on average, and the fewest it gets (its best, where it exceeds fewer);
 #: vectors that are compared in one task.
 EXPECTED, FEWEST, BLOCK = 20, 14, 2048
+#: Most words of a block; bits of a filter's name below the length; length from which on there are two blocks.
+WORDS, NAME_BITS, SHORT = 4096, 24, 8
 
 
 @dataclass
@@ -45,10 +51,15 @@ class CapCode:
 
     @classmethod
     def of(cls, dim: int, size: int, expected: float = EXPECTED, seed: int = 20) -> "CapCode":
-        """Two blocks with ``size`` words each; the cap height follows from ``expected``."""
+        """Two blocks with ``size`` words each; the cap height follows from ``expected``.
+
+        Vectors of fewer than ``SHORT`` numbers have one block, and caps that are no narrower than links reach.
+        """
+        if dim < SHORT:
+            size = min(size, 32 << dim)
         random = np.random.default_rng(seed)
         rotation = np.linalg.qr(random.normal(size=(dim, dim)))[0]
-        cut = max(1, dim // 2)
+        cut = dim // 2 if dim >= SHORT else dim
         codes = []
         for width in (cut, dim - cut):
             if width:
@@ -57,7 +68,7 @@ class CapCode:
         share = min(0.5, expected / float(size) ** len(codes))
         # a direction's score is nearly normal with variance 1 / dim
         height = NormalDist().inv_cdf(1 - share) / np.sqrt(dim)
-        return cls(rotation, codes, float(height))
+        return cls(rotation, codes, float(height if dim >= SHORT else min(height, 0.9)))
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """All filters that each unit row exceeds, ascending."""
@@ -93,6 +104,14 @@ class CapCode:
         return ids
 
 
+def words_for(n: int) -> int:
+    """Words of a block's code for so many vectors."""
+    size = 32
+    while size * size < n and size < WORDS:
+        size *= 2
+    return size
+
+
 def _unit(packed: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(packed), "<f4").reshape(len(packed), -1).astype(np.float64)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -138,25 +157,31 @@ def neardup_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
     # a null component makes the sum null, a non-finite one infinite or NaN
     usable = F.coalesce((norm > 0) & (norm < F.lit(float("inf"))) & F.col("id").isNotNull(), F.lit(False))
     groups = materialise(rows.filter(usable).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
-    dim, n = groups.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    lengths = {r["dim"]: r["n"] for r in groups.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     everyone = rows.select("id", F.when(usable, F.col("v")).alias("v"))
     alone = everyone.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    if not n:
+    if not lengths:
         return alone
-    size = 32
-    while size * size < n and size < 4096:
-        size *= 2
-    code = spark.sparkContext.broadcast(CapCode.of(dim, size))
+    words = {dim: words_for(n) for dim, n in lengths.items() if n > 1}
 
     def decode(batches):
+        dim, code = None, None
         for batch in batches:
-            column = batch.column(2)
-            packed = [np.asarray(v, "<f4").tobytes() for v in column.to_numpy(zero_copy_only=False)]
-            filters = code.value.decode(_unit(packed)) if packed else []
+            packed = [np.asarray(v, "<f4").tobytes() for v in batch.column(2).to_numpy(zero_copy_only=False)]
+            filters, at = [], 0
+            for size, same in groupby(len(p) // 4 for p in packed):
+                if size != dim:
+                    dim, code = size, CapCode.of(size, words[size])
+                end = at + sum(1 for _ in same)
+                filters += [f + (dim << NAME_BITS) for f in code.decode(_unit(packed[at:end]))]
+                at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array([f.tolist() for f in filters], pa.list_(pa.int64()))], names=["rep", "copies", "packed", "filters"])
 
-    whole = groups.filter(F.size("v") == dim)
-    decoded = materialise(whole.select("rep", "copies", "v").repartition("rep").mapInArrow(decode, "rep long, copies long, packed binary, filters array<long>"), "filters")
+    # a length with one vector only has nothing to meet
+    several = groups.filter(F.size("v").isin(list(words))).select("rep", "copies", "v").repartition("rep")
+    if len(words) > 1:
+        several = several.sortWithinPartitions(F.size("v"))
+    decoded = materialise(several.mapInArrow(decode, "rep long, copies long, packed binary, filters array<long>"), "filters")
     met = decoded.select("rep", F.explode("filters").alias("f"))
     sizes = met.groupBy("f").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows_at = decoded.select("*", F.explode("filters").alias("f")).join(sizes, "f")

@@ -147,6 +147,25 @@ def test_vectors_against_all_pairs(spark, block, monkeypatch):
     assert (got[None].component_id, got[None].kept) == (None, False)
 
 
+def test_vectors_of_every_length_link(spark):
+    """One stray longer vector takes no links from the others, and those of each length have theirs."""
+    random = np.random.default_rng(6)
+    rows = []
+    for dim in (1, 2, 8, 64):
+        for k in range(5):
+            v = random.normal(size=dim)
+            rows += [(100 * dim + 2 * k, v.tolist()), (100 * dim + 2 * k + 1, (v + 1e-3 * np.abs(v)).tolist())]
+    rows += [(9000, [1.0] * 65), (9001, [1.0] * 66), (9002, [2.0] + [1.0] * 65), (9003, [1.0] * 65)]
+    got = {r.vec_id: r for r in neardup_vectors.neardup_vectors(vectors(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, v in rows:
+        near = [j for j, w in rows if j != i and len(w) == len(v) and np.dot(v, w) >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w)]
+        assert got[i].n_links == len(near), (i, got[i], near)
+        assert got[i].kept == (got[i].component_id == i)
+    stray = neardup_vectors.neardup_vectors(vectors(spark, [(1, [1.0]), (2, [1.0, 2.0])])).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in stray} == {(1, 0, 1, True), (2, 0, 2, True)}
+
+
 def test_no_vectors(spark):
     assert neardup_vectors.neardup_vectors(vectors(spark, [])).count() == 0
     assert neardup_vectors.neardup_vectors(vectors(spark, [(1, None)])).count() == 1
