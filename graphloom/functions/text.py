@@ -13,8 +13,8 @@ STOP = (
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 QUOTED = "[`'\"]([A-Za-z_][A-Za-z0-9_./]{2,})[`'\"]"
 CAMEL = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
-#: Characters of a text that are tokenised (cap 60,000 tokens), distinct terms of a file that count.
-TEXT_CHARS, TERM_CAP = 480_000, 2_000
+#: Distinct terms of a file that count.
+TERM_CAP = 2_000
 
 
 def identifiers(text: Column) -> Column:
@@ -33,11 +33,11 @@ def is_term(term: Column) -> Column:
 
 
 def term_counts(texts: DataFrame, key: str, cap: int | None = TERM_CAP) -> DataFrame:
-    """``key``, term, f: identifiers are counted first, so each distinct one of a text is split once.
+    """``key``, term, f over whole texts: identifiers are counted first, so each distinct one of a text is split once.
 
     With a cap the most frequent terms of a text (ties by term).
     """
-    named = texts.select(key, F.explode(identifiers(F.substring("text", 1, TEXT_CHARS))).alias("ident")).groupBy(key, "ident").agg(F.count(F.lit(1)).alias("n"))
+    named = texts.select(key, F.explode(identifiers(F.col("text"))).alias("ident")).groupBy(key, "ident").agg(F.count(F.lit(1)).alias("n"))
     split = named.select(key, "n", F.explode(subtokens(F.col("ident"))).alias("term")).filter(is_term(F.col("term")))
     counts = split.groupBy(key, "term").agg(F.sum("n").alias("f"))
     if cap is None:

@@ -95,6 +95,11 @@ def test_subtokens_and_identifiers(spark):
     assert set(df.select(text.code_identifiers(F.col("t"))).collect()[1][0]) == {"parse_url", "foo_bar"}
 
 
+def test_terms_are_counted_to_the_end_of_a_text(spark):
+    texts = spark.createDataFrame([(1, "early " + "- " * 300_000 + "late early")], "file long, text string")
+    assert {tuple(r) for r in text.term_counts(texts, "file").collect()} == {(1, "early", 2), (1, "late", 1)}
+
+
 def test_query_terms_count_once(spark):
     tf = spark.createDataFrame([(1, "foo", 2), (2, "bar", 1)], "file int, term string, f long")
     ask = spark.createDataFrame([(1, "foo foo"), (2, "foo")], "qid int, text string")
