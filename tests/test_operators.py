@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import stats, text
 from graphloom.operators import evaluation, fusion, graph, history, imports, retrieval
 from graphloom.sources import logs
+from graphloom.sources.tables import Model
 from graphloom.streaming import pairs as stream_pairs
 
 BASE = "2000-01-01 00:00:00"
@@ -179,6 +180,17 @@ def test_gold_from_patch_and_renames(spark):
     assert [tuple(r) for r in rows] == [(["b.py", "y.py"], "src/new/a.py"), ([], "b.py")]
 
 
+def test_gold_of_passages_with_few_words(spark, tmp_path):
+    """Long compounds, no spaces at all, characters of four bytes, and passages shorter than a gram: as contains() says."""
+    head = "x" * 19
+    asked = [head + "Donaudampfschifffahrt gesellschaft kapitaen " + "m" * 40, head + "语言没有空格" * 20, head + "🙂é" * 40, head + "short one", head, "tiny", head + "a b c d e f g h i j k l m n o p q r s t u v w x y z a b c d"]
+    held = [t[15:] + " and more" for t in asked] + ["nothing", "", None, "short on", "before short one after"]
+    spark.createDataFrame(list(enumerate([*asked, None])), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(held)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in Model(spark, str(tmp_path)).gold.collect()}
+    assert got == {(q, d) for q, a in enumerate(asked) for d, h in enumerate(held) if h is not None and a[19:79] in h}
+
+
 def test_history_log(spark):
     lines = ["\x01s1\t100", "1\t0\ta.py", "2\t1\tsrc/{x => y}/b.py", "1\t1\treadme.md", "", "\x01s2\t200", *[f"1\t1\tf{i}.py" for i in range(31)]]
     df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
