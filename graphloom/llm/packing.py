@@ -20,6 +20,7 @@ empty table gives no piece.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -39,8 +40,10 @@ SHARD_DOCS, SHARD_TOKENS, TELLING = 4096, 6_000_000, 8
 SPARE = 1.25
 #: BM25 settings.
 K1, B = 1.2, 0.75
-#: Every term of a seed is looked up, however common; plain scoring in the tests reads these.
-QUERY_TERMS, COMMON = None, 1.0
+#: Neighbours that are sorted at first.
+FIRST = 32
+#: Documents of each partition, and in all, that the bounds of the ranges are taken from.
+BOUND_ROWS, MOST_BOUND_ROWS = 64, 200_000
 TOKENIZER = "word_bpe_49k.json"
 #: Units that a worker remembers between tasks.
 UNITS = 1_000_000
@@ -79,16 +82,21 @@ class Bm25:
         self.begin = np.concatenate(([0], np.cumsum(keep)))[self.begin]
         self.docs, self.weights = self.docs[keep], self.weights[keep]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """All unused documents that share a term, by falling score (then by place)."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term, by falling score (then by place); sorted as far as they are asked for."""
         t = self.terms[seed]
         spans = list(zip(self.begin[t].tolist(), self.begin[t + 1].tolist()))
         if not spans:
-            return np.empty(0, np.int64)
+            return
         found = np.concatenate([self.docs[a:b] for a, b in spans])
         score = np.bincount(found, weights=np.concatenate([self.weights[a:b] for a, b in spans]), minlength=self.n)
         hits = np.flatnonzero((score > 0) & unused)
-        return hits[np.argsort(-score[hits], kind="stable")]
+        score, first = score[hits], FIRST
+        while len(hits):
+            least = -np.inf if len(hits) <= first else np.partition(score, len(hits) - first)[len(hits) - first]
+            now = score >= least
+            yield from hits[now][np.argsort(-score[now], kind="stable")].tolist()
+            hits, score, first = hits[~now], score[~now], 8 * first
 
 
 def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -128,7 +136,7 @@ def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
                 if 8 * unused.sum() <= 7 * indexed:
                     index.drop_used(unused)
                     indexed = unused.sum()
-                queue = iter(index.neighbours(seed, unused).tolist())
+                queue = index.neighbours(seed, unused.copy())
             doc = next(queue, None)
             doc = next_unused() if doc is None else doc
             unused[doc] = False
@@ -196,17 +204,30 @@ def dealt(encoded: DataFrame, key: str) -> DataFrame:
     df[table["term"].to_numpy()] = table["df"].to_numpy()
     shared, mean = encoded.sparkSession.sparkContext.broadcast(df), tokens / max(n, 1)
 
-    def sign(batches):
-        for batch in batches:
-            found = [telling(widened(ids, k), shared.value, n, mean) for k, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[key, "n", "ids", "telling"])
-
-    signed = encoded.mapInArrow(sign, f"`{key}` {encoded.schema[key].dataType.simpleString()}, n long, ids binary, telling array<long>")
     full = max(n / SHARD_DOCS, tokens / SHARD_TOKENS)
     parts = 1 if full <= 1 else int(np.ceil(full * SPARE))
-    # equal documents are told apart by a hash, so that a large group of copies is cut too
-    order = ["telling", F.xxhash64("ids", key)]
-    return signed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(key, "n", "ids")
+
+    def sign(bounds, batches):
+        for batch in batches:
+            found = [telling(widened(ids, k), shared.value, n, mean) for k, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            # equal documents are told apart by a hash, so that a large group of copies is cut too
+            part = [bisect_right(bounds.value, (t, h)) for t, h in zip(found, batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64())), pa.array(part, pa.int32())], names=[key, "n", "ids", "h", "telling", "part"])
+
+    hashed = encoded.select(key, "n", "ids", F.xxhash64("ids", key).alias("h"))
+    schema = f"`{key}` {encoded.schema[key].dataType.simpleString()}, n long, ids binary, h long, telling array<long>, part int"
+    send = encoded.sparkSession.sparkContext.broadcast
+    signed = hashed.mapInArrow(partial(sign, send([])), schema)
+    if parts > 1:
+        share = min(1.0, min(BOUND_ROWS * parts, MOST_BOUND_ROWS) / n)
+        some = hashed.filter(F.xxhash64("h", F.lit(3)) / F.lit(2.0**64) + 0.5 < share).mapInArrow(partial(sign, send([])), schema)
+        table = some.select("telling", "h").toArrow()
+        seen = sorted(zip(table["telling"].to_pylist(), table["h"].to_pylist()))
+        bounds = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else []
+        signed = hashed.mapInArrow(partial(sign, send(bounds)), schema).repartitionById(parts, "part")
+    else:
+        signed = signed.coalesce(1)
+    return signed.sortWithinPartitions("telling", "h").select(key, "n", "ids")
 
 
 def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -251,23 +272,27 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
     return dealt(encoded, key).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
-_encoders: dict[tuple[str, int], WordBpe] = {}
+_encoders: dict[tuple[str, int, bool], WordBpe] = {}
 
 
-def opened(path: str | None, limit: int) -> WordBpe:
+def opened(path: str | None, limit: int, special: bool) -> WordBpe:
     """The tokenizer at a path, kept by the worker process; a function of the module, so that tasks share what it keeps."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if (path, limit) not in _encoders:
-        _encoders[path, limit] = WordBpe(path, limit)
-    return _encoders[path, limit]
+    if (path, limit, special) not in _encoders:
+        _encoders[path, limit, special] = WordBpe(path, limit, special)
+    return _encoders[path, limit, special]
 
 
-def encoder_for(path: str | None = None, units: int = UNITS) -> Callable[[], WordBpe]:
-    """Opens the tokenizer at ``path`` (the public word-end file by default) where it is used; it remembers ``units`` at most."""
-    return partial(opened, path, units)
+def encoder_for(path: str | None = None, units: int = UNITS, special: bool = True) -> Callable[[], WordBpe]:
+    """Opens the tokenizer at ``path`` (the public word-end file by default) where it is used.
+
+    It remembers ``units`` at most; with ``special`` the names of special tokens in a text are those tokens, as the
+    library has it by default, without they are plain text.
+    """
+    return partial(opened, path, units, special)
 
 
 def op9_packing_bm25(spark, sf_dir: str) -> DataFrame:

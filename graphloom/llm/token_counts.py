@@ -25,7 +25,7 @@ from graphloom.llm.packing import encoder_for
 from graphloom.llm.shared import documents, materialise
 from graphloom.llm.word_bpe import WordBpe
 
-#: End id of the public word-end tokenizer (a special token, so no text has it), bytes of an id, ids of a block.
+#: End id of the public word-end tokenizer (a special token, which no text has where names of special tokens are plain text), bytes of an id, ids of a block.
 END_ID, ID_BYTES, BLOCK_IDS = 49_407, 2, 1 << 18
 #: Units that a worker remembers: fewer than for packing, since the same task also writes Parquet.
 UNITS = 500_000
@@ -111,7 +111,7 @@ def write_blocks(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_
 
 def count_texts(df: DataFrame, encoder: Callable[[], WordBpe] | None = None, key: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """``key``, n_tokens, file, ordinal of every row: written as token files, counted by scanning them."""
-    stored = materialise(write_blocks(df, encoder or encoder_for(units=UNITS), key, text, block_ids), "tokens")
+    stored = materialise(write_blocks(df, encoder or encoder_for(units=UNITS, special=False), key, text, block_ids), "tokens")
     counts = token_counts(stored.filter("ids is not null").select("file", "block", "ids"))
     names = stored.filter("keys is not null").select("file", F.col("block").alias("first"), F.posexplode("keys").alias("at", key)).select("file", (F.col("first") + F.col("at")).alias("ordinal"), key)
     return counts.join(names, ["file", "ordinal"]).select(key, "n_tokens", "file", "ordinal")

@@ -2,7 +2,8 @@
 
 A *unit* is a run without white space. The tokenizer drops white space before its
 merges, so a text's ids are those of its units in order; each distinct unit is
-encoded once by the ``tokenizers`` library and remembered. A unit of letters, maybe
+encoded once by the ``tokenizers`` library and remembered. A text with the name of
+a special token is encoded by the library as a whole. A unit of letters, maybe
 with a run of signs after them, is a *core* and that run: many units share either,
 and cores are encoded many at a time, told apart by the word-end tokens. Texts of
 Latin-1 characters are lower-cased as a whole first, which the tokenizer does too.
@@ -33,12 +34,14 @@ def lowered(text: str) -> str:
 
 
 class WordBpe:
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 600_000, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        #: Where a text has one of these, it is encoded as a whole.
+        self.names = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if special else ()
         # lower-case Latin-1 letters need neither the file's normalizer nor its pattern
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
@@ -115,7 +118,7 @@ class WordBpe:
 
         for text in texts:
             text = text or ""
-            if any(c in text for c in ODD):
+            if any(c in text for c in ODD) or any(name in text for name in self.names):
                 held.append(text)
             else:
                 held.append(units := lowered(text).split())

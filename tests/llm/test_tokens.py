@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -16,7 +17,8 @@ BPE = byte_bpe.opened()
 REFERENCE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=BPE.ranks, special_tokens={})
 WORDS = WordBpe(P.path("word_bpe_49k.json"))
 DIRECT = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-DIRECT.encode_special_tokens = True
+PLAIN, PLAIN_DIRECT = WordBpe(P.path("word_bpe_49k.json"), special=False), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+PLAIN_DIRECT.encode_special_tokens = True
 
 MIXED = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "'s", "é", "Éa", "ß", "中", "🙂", ".", ",,", "!?", "12", "²", "_", "\x1c", "\x85", " ", "x" * 30, "Σ", "İ", "é"]), max_size=30).map("".join)
 
@@ -40,6 +42,13 @@ def test_long_words(text):
 def test_words_as_the_library(text):
     text = text.encode("utf-8", "replace").decode()
     assert np.frombuffer(WORDS.encode([text])[0], "<u4").tolist() == DIRECT.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(PLAIN.encode([text])[0], "<u4").tolist() == PLAIN_DIRECT.encode(text, add_special_tokens=False).ids
+
+
+def test_names_of_special_tokens():
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a", "x<|endoftext|>", "<|endoftext|>"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WORDS.encode(texts)] == [DIRECT.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in np.frombuffer(WORDS.encode(texts)[0], "<u4") and 49407 not in np.frombuffer(PLAIN.encode(texts)[0], "<u4")
 
 
 def test_memory_of_units_is_bounded():
@@ -92,19 +101,64 @@ def test_neighbours_are_those_of_plain_scoring():
     for seed in range(0, 60, 9):
         terms, counts = np.unique(docs[seed], return_counts=True)
         df = np.array([sum(t in d for d in docs) for t in terms])
-        ok = (df > 1) & (df <= max(2, packing.COMMON * 60))
+        ok = df > 1
         idf = np.log((60 - df + 0.5) / (df + 0.5) + 1).astype(np.float32)
-        pick = np.argsort(-idf[ok] * np.minimum(counts[ok], 3), kind="stable")[: packing.QUERY_TERMS]
         score = np.zeros(60)
-        for t, w in zip(terms[ok][pick], idf[ok][pick]):
+        for t, w in zip(terms[ok], idf[ok]):
             for d, doc in enumerate(docs):
                 c = (doc == t).sum()
                 score[d] += w * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(doc) / mean))
-        got = index.neighbours(seed, unused)
+        got = list(index.neighbours(seed, unused))
         assert set(got) == set(np.flatnonzero((score > 0) & unused))
         assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got, got[1:]))
 
 
+def plain_fill(docs, window):
+    """Pieces of a shard as the module's text has them, each neighbour found by scoring every unused document."""
+    n, sizes = len(docs), [len(d) for d in docs]
+    mean, df = sum(sizes) / n, {}
+    for d in docs:
+        for t in set(d.tolist()):
+            df[t] = df.get(t, 0) + 1
+
+    def score(seed, other):
+        total, tokens = 0.0, docs[other].tolist()
+        for t in set(docs[seed].tolist()) & set(tokens):
+            if df[t] > 1:
+                c = tokens.count(t)
+                total += math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sizes[other] / mean))
+        return total
+
+    unused, left, rest, sequence = set(range(n)), sum(sizes), None, 0
+    while left:
+        room = window if left >= window else 2 ** int(math.log2(left))
+        left -= room
+        seed, at = rest or (min(unused), 0)
+        unused.discard(seed)
+        rest, doc, offset = None, seed, 0
+        while offset < room:
+            take = min(room - offset, sizes[doc] - at)
+            yield doc, at, take, sequence, offset
+            offset += take
+            if at + take < sizes[doc]:
+                rest = (doc, at + take)
+            elif offset < room:
+                found = {d: score(seed, d) for d in unused}
+                hits = [d for d in found if found[d] > 0]
+                doc, at = (min(hits, key=lambda d: (-found[d], d)) if hits else min(unused)), 0
+                unused.discard(doc)
+        sequence += 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fill_is_the_plain_one(seed, monkeypatch):
+    r = np.random.default_rng(seed)
+    monkeypatch.setattr(packing, "WINDOW", 128)
+    monkeypatch.setattr(packing, "FIRST", 2)
+    docs = [r.integers(0, r.choice([20, 200, 5000]), r.integers(1, 90)) for _ in range(80)]
+    assert list(packing.pack([d.astype(np.uint32) for d in docs])) == list(plain_fill(docs, 128))
+
+
 @pytest.mark.parametrize("others", [1, 20])
 def test_windows_take_all_neighbours(others):
     """A group of short documents, a half or a twentieth of the shard: one window needs more than a hundred of them."""
