@@ -40,8 +40,8 @@ SHARD_DOCS, SHARD_TOKENS, TELLING = 4096, 6_000_000, 8
 SPARE = 1.25
 #: BM25 settings.
 K1, B = 1.2, 0.75
-#: Neighbours that are sorted at first.
-FIRST = 32
+#: Neighbours that are sorted at first; a term of at least one in so many documents has a row of the matrix, if there is room.
+FIRST, COMMON, CELLS = 32, 4, 1 << 23
 #: Documents of each partition, and in all, that the bounds of the ranges are taken from.
 BOUND_ROWS, MOST_BOUND_ROWS = 64, 200_000
 TOKENIZER = "word_bpe_49k.json"
@@ -51,51 +51,73 @@ UNITS = 1_000_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of every distinct term of every document, in this order."""
+    lengths = np.array([len(x) for x in docs], np.int64)
+    both = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, lengths)
+    both |= np.concatenate(docs).astype(np.int64) if docs else both
+    both.sort()
+    start = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
+    return both[start] >> 32, both[start] & 0xFFFFFFFF, np.diff(start, append=len(both))
+
+
 class Bm25:
-    """Inverted index of a shard: postings sorted by term, with their BM25 weights."""
+    """Inverted index of a shard, with BM25 weights: rows of a matrix for the most common terms, postings for the others."""
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
-        terms, counts, owners = [], [], []
-        for d, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owners.append(np.full(len(t), d, np.int32))
+        d, t, c = term_counts(docs)
         lengths = np.array([len(x) for x in docs], np.float32)
-        t, c, d = np.concatenate(terms), np.concatenate(counts).astype(np.float32), np.concatenate(owners)
-        size = int(t.max()) + 1
-        df = np.bincount(t, minlength=size)
-        self.idf = np.log((n - df + 0.5) / (df + 0.5) + 1).astype(np.float32)
+        df = np.bincount(t)
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1).astype(np.float32)
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
-        weight = self.idf[t] * c * (K1 + 1) / (c + norm[d])
-        self.useful = df > 1  # a term of one document leads to no other
-        keep = self.useful[t]
-        order = np.argsort(t[keep], kind="stable")
-        self.docs, self.weights = d[keep][order], weight[keep][order].astype(float)
-        self.begin = np.concatenate(([0], np.cumsum(np.where(self.useful, df, 0))))
-        self.terms, self.n = [x[self.useful[x]] for x in terms], n
+        weight = idf[t] * c * np.float32(K1 + 1) / (c + norm[d])
+        keep = df[t] > 1  # a term of one document leads to no other
+        d, t, weight = d[keep], t[keep], weight[keep].astype(np.float32)
+        common = np.flatnonzero(df * COMMON >= n)
+        common = common[df[common] > 1]
+        if len(common) * n > CELLS:
+            common = np.sort(common[np.argsort(-df[common], kind="stable")[: CELLS // n]])
+        row = np.full(len(df), -1, np.int64)
+        row[common] = np.arange(len(common))
+        dense = row[t] >= 0
+        self.matrix = np.zeros((len(common), n), np.float32)
+        self.matrix[row[t[dense]], d[dense]] = weight[dense]
+        starts = np.searchsorted(d, np.arange(n + 1))
+        self.rows, self.terms = row[t], t
+        self.own = starts.tolist()
+        order = np.argsort(t[~dense], kind="stable")
+        self.columns, self.weights = d[~dense][order], weight[~dense][order]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(t[~dense], minlength=len(df)))))
+        #: The document of each column.
+        self.docs = np.arange(n)
 
     def drop_used(self, unused: np.ndarray) -> None:
-        """Take the postings of used documents out; weights stay those of the whole shard."""
+        """Take used documents out; weights stay those of the whole shard."""
         keep = unused[self.docs]
-        self.begin = np.concatenate(([0], np.cumsum(keep)))[self.begin]
-        self.docs, self.weights = self.docs[keep], self.weights[keep]
+        self.matrix = self.matrix[:, keep]
+        place = np.cumsum(keep) - 1
+        stay = keep[self.columns]
+        self.begin = np.concatenate(([0], np.cumsum(stay)))[self.begin]
+        self.columns, self.weights = place[self.columns[stay]], self.weights[stay]
+        self.docs = self.docs[keep]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """All unused documents that share a term, by falling score (then by place); sorted as far as they are asked for."""
-        t = self.terms[seed]
-        spans = list(zip(self.begin[t].tolist(), self.begin[t + 1].tolist()))
-        if not spans:
-            return
-        found = np.concatenate([self.docs[a:b] for a, b in spans])
-        score = np.bincount(found, weights=np.concatenate([self.weights[a:b] for a, b in spans]), minlength=self.n)
-        hits = np.flatnonzero((score > 0) & unused)
+        own = slice(self.own[seed], self.own[seed + 1])
+        rows, terms = self.rows[own], self.terms[own]
+        terms, rows = terms[rows < 0], rows[rows >= 0]
+        score = self.matrix[rows].sum(axis=0) if len(rows) else np.zeros(len(self.docs), np.float32)
+        spans = [(a, b) for a, b in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist()) if a < b]
+        if spans:
+            found = np.concatenate([self.columns[a:b] for a, b in spans])
+            score = score + np.bincount(found, weights=np.concatenate([self.weights[a:b] for a, b in spans]), minlength=len(score))
+        hits = np.flatnonzero((score > 0) & unused[self.docs])
         score, first = score[hits], FIRST
         while len(hits):
             least = -np.inf if len(hits) <= first else np.partition(score, len(hits) - first)[len(hits) - first]
             now = score >= least
-            yield from hits[now][np.argsort(-score[now], kind="stable")].tolist()
+            yield from self.docs[hits[now][np.argsort(-score[now], kind="stable")]].tolist()
             hits, score, first = hits[~now], score[~now], 8 * first
 
 
@@ -144,24 +166,31 @@ def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         sequence += 1
 
 
-def narrow(ids: bytes) -> bytes:
-    """Ids in two bytes each where they fit."""
-    x = np.frombuffer(ids, "<u4")
-    return x.astype("<u2").tobytes() if x.max() < 1 << 16 else ids
+def closed(ids: np.ndarray) -> bytes:
+    """Ids and the end id, in two bytes each where they fit."""
+    kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
+    return np.append(ids, np.uint32(END_ID)).astype(kind).tobytes()
 
 
 def widened(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4", copy=False)
 
 
-def telling(ids: np.ndarray, df: np.ndarray, n: int, mean: float) -> list[int]:
-    """The terms that weigh most among those that other documents have too, the most widespread first."""
-    t, c = np.unique(ids, return_counts=True)
+def telling(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float) -> list[list[int]]:
+    """Of each document the terms that weigh most among those that other documents have too, the most widespread first."""
+    d, t, c = term_counts(docs)
     shared = df[t] > 1
-    t, c = t[shared], c[shared]
-    weight = np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * c / (c + K1 * (1 - B + B * len(ids) / mean))
-    t = t[np.argsort(-weight, kind="stable")[:TELLING]]
-    return t[np.lexsort((t, -df[t]))].tolist()
+    d, t, c = d[shared], t[shared], c[shared]
+    norm = K1 * (1 - B + B * np.array([len(x) for x in docs]) / mean)
+    weight = np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * c / (c + norm[d])
+    # one number to sort by: the document, and within it the weight, falling
+    order = np.argsort(d + (1 - weight / (weight.max(initial=0) + 1)), kind="stable")
+    first = np.searchsorted(d, np.arange(len(docs)))
+    order = order[np.arange(len(order)) - first[d] < TELLING]  # as d ascends, places in order[] have the same d
+    order = order[np.lexsort((t[order], -df[t[order]], d[order]))]
+    ends = np.searchsorted(d[order], np.arange(len(docs) + 1))
+    terms = t[order].tolist()
+    return [terms[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def encoded_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str, text: str, keep: bool) -> DataFrame:
@@ -170,12 +199,11 @@ def encoded_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str, text:
     def run(batches):
         bpe = encoder()
         claim("word_bpe", bpe.forget)
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [x + end for x in bpe.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(narrow, ids)), pa.binary())], names=[key, "n", "ids"])
+                ids = bpe.encode_arrays(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(list(map(closed, ids)), pa.binary())], names=[key, "n", "ids"])
         if not keep:
             bpe.forget()
             give_back_memory()
@@ -189,11 +217,10 @@ def dealt(encoded: DataFrame, key: str) -> DataFrame:
     def count(batches):
         df = np.zeros(0, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = np.unique(widened(ids, n))
-                if t[-1] >= len(df):
-                    df = np.concatenate((df, np.zeros(int(t[-1]) + 1 - len(df), np.int64)))
-                df[t] += 1
+            _, t, _ = term_counts(list(map(widened, batch.column(1).to_pylist(), batch.column(0).to_pylist())))
+            more = np.bincount(t, minlength=len(df))
+            more[: len(df)] += df
+            df = more
         t = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(df[t], pa.int64())], names=["term", "df"])
 
@@ -209,7 +236,7 @@ def dealt(encoded: DataFrame, key: str) -> DataFrame:
 
     def sign(bounds, batches):
         for batch in batches:
-            found = [telling(widened(ids, k), shared.value, n, mean) for k, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = telling(list(map(widened, batch.column(2).to_pylist(), batch.column(1).to_pylist())), shared.value, n, mean)
             # equal documents are told apart by a hash, so that a large group of copies is cut too
             part = [bisect_right(bounds.value, (t, h)) for t, h in zip(found, batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64())), pa.array(part, pa.int32())], names=[key, "n", "ids", "h", "telling", "part"])

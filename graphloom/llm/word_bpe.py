@@ -12,9 +12,11 @@ Latin-1 characters are lower-cased as a whole first, which the tokenizer does to
 from __future__ import annotations
 
 import os
-from operator import add
+from itertools import compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Controls that Python takes for white space and the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -33,6 +35,39 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
+class Pool:
+    """Ids of numbered entries, one after another in one array."""
+
+    def __init__(self):
+        self.ids, self.size = np.empty(1 << 12, np.uint32), 0
+        self.starts, self.counts, self.n = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64), 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Entries of ``counts`` ids each."""
+        self.ids, self.starts, self.counts = _room(self.ids, self.size + len(ids)), _room(self.starts, self.n + len(counts)), _room(self.counts, self.n + len(counts))
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.starts[self.n : self.n + len(counts)] = self.size + np.cumsum(counts) - counts
+        self.counts[self.n : self.n + len(counts)] = counts
+        self.size += len(ids)
+        self.n += len(counts)
+
+    def of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these entries in order, and how many each has."""
+        counts = self.counts[entries]
+        ends = np.cumsum(counts)
+        place = np.repeat(self.starts[entries] - (ends - counts), counts)
+        place += np.arange(len(place))
+        return self.ids[place], counts
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.empty(max(n, len(x) * 3 // 2), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class WordBpe:
     def __init__(self, path: str, limit: int = 600_000, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,80 +85,108 @@ class WordBpe:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.signs: dict[str, bytes] = {"": b""}
-        self.units: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        #: Units and parts of units (cores, runs of signs) to their places in ``pool`` and ``parts``.
+        self.units: dict[str, int] = {}
+        self.places: dict[str, int] = {"": 0}
+        self.pool, self.parts = Pool(), Pool()
+        self.parts.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def packed(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+    def _keep_parts(self, parts: list[str], found: list[np.ndarray]) -> None:
+        self.places.update(zip(parts, range(self.parts.n, self.parts.n + len(parts))))
+        self.parts.add(np.concatenate(found), np.array([len(x) for x in found], np.int64))
 
     def _learn_cores(self, cores: list[str], tokenizer) -> None:
         for at in range(0, len(cores), 4096):
             part = cores[at : at + 4096]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
-                self.cores.update((c, self.packed(c)) for c in part)
+                self._keep_parts(part, self.whole(part))
                 continue
-            data, start = ids.tobytes(), 0
-            for core, stop in zip(part, stops.tolist()):
-                self.cores[core] = data[start:stop]
-                start = stop
-
-    def forget(self) -> None:
-        self.units.clear()
-        self.cores.clear()
-        self.signs = {"": b""}
+            self.places.update(zip(part, range(self.parts.n, self.parts.n + len(part))))
+            self.parts.add(ids, np.diff(stops, prepend=0))
 
     def learn(self, units: list[str]) -> None:
-        """Remember the ids of these units."""
-        if len(self.units) + len(units) > self.limit:
-            self.forget()
+        """Remember the ids of these units, none of which is known."""
         cores = [unit.rstrip(SIGNS) for unit in units]
-        odd = [unit for unit, core in zip(units, cores) if not core.isalpha()]
+        letters = [core.isalpha() for core in cores]
+        odd = [unit for unit, ok in zip(units, letters) if not ok]
         if odd:
-            units = [unit for unit, core in zip(units, cores) if core.isalpha()]
-            cores = [core for core in cores if core.isalpha()]
+            units, cores = list(compress(units, letters)), list(compress(cores, letters))
         ends = [unit[len(core) :] for unit, core in zip(units, cores)]
-        fresh = set(cores).difference(self.cores)
+        fresh = set(cores).difference(self.places)
         # only texts of Latin-1 characters come lower-cased; other cores need the file's own rules
-        own = [core for core in fresh if core != core.lower() or not core.isascii() and max(core) > "\xff"]
+        own = [core for core in fresh if not core.isascii() and (max(core) > "\xff" or core != core.lower()) or core.isascii() and not core.islower()]
         self._learn_cores(list(fresh.difference(own)), self.plain)
         self._learn_cores(own, self.tokenizer)
-        for sign in set(ends).difference(self.signs):
-            self.signs[sign] = self.packed(sign)
-        self.units.update(zip(units, map(add, map(self.cores.__getitem__, cores), map(self.signs.__getitem__, ends))))
+        if signs := list(set(ends).difference(self.places)):
+            self._keep_parts(signs, self.whole(signs))
+        place = self.places.__getitem__
+        both = np.empty(2 * len(units), np.int64)
+        both[::2] = np.fromiter(map(place, cores), np.int64, len(units))
+        both[1::2] = np.fromiter(map(place, ends), np.int64, len(units))
+        ids, counts = self.parts.of(both)
+        self.units.update(zip(units, range(self.pool.n, self.pool.n + len(units))))
+        self.pool.add(ids, counts[::2] + counts[1::2])
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.units[unit] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        out: list[bytes] = []
-        held: list[list[str] | str] = []
-        fresh: set[str] = set()
+            found = self.whole(part)
+            self.units.update(zip(part, range(self.pool.n, self.pool.n + len(part))))
+            self.pool.add(np.concatenate(found), np.array([len(x) for x in found], np.int64))
+
+    def _of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, and how many each has; each distinct one is looked up once."""
+        if not units:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        of = pc.dictionary_encode(pa.array(units, pa.large_string())).indices.to_numpy()
+        # distinct units are numbered as they come up
+        first = np.flatnonzero(np.concatenate(([True], of[1:] > np.maximum.accumulate(of)[:-1])))
+        distinct = [units[i] for i in first.tolist()]
+        at = np.fromiter(map(self.units.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            if len(self.units) + len(unknown) > self.limit:
+                self.forget()  # so all of these texts' units are learnt together
+                unknown = np.arange(len(distinct))
+            missing = [distinct[i] for i in unknown.tolist()]
+            self.learn(missing)
+            at[unknown] = np.fromiter(map(self.units.__getitem__, missing), np.int64, len(missing))
+        return self.pool.of(at[of])
+
+    def encode_arrays(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        sizes: list[int] = []
 
         def flush() -> None:
-            if missing := fresh.difference(self.units):
-                if len(self.units) + len(missing) > self.limit:
-                    self.forget()  # so all of these texts' units are learnt together
-                    missing = fresh
-                self.learn(list(missing))
-            get = self.units.__getitem__
-            out.extend(self.packed(x) if isinstance(x, str) else b"".join(map(get, x)) for x in held)
+            ids, counts = self._of_units(held)
+            stops = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *sizes])].tolist()
+            out.extend(ids[a:b] for a, b in zip(stops, stops[1:]))
             held.clear()
-            fresh.clear()
+            sizes.clear()
 
         for text in texts:
             text = text or ""
             if any(c in text for c in ODD) or any(name in text for name in self.names):
-                held.append(text)
-            else:
-                held.append(units := lowered(text).split())
-                fresh.update(units)
-            if len(fresh) > 100_000:
+                flush()
+                out += self.whole([text])
+                continue
+            units = lowered(text).split()
+            held += units
+            sizes.append(len(units))
+            if len(held) > 300_000:
                 flush()
         flush()
         return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        return [x.astype("<u4").tobytes() for x in self.encode_arrays(texts)]
