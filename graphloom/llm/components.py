@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.llm.shared import drop_table, materialise
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """``node, component`` of every node that has an edge to another; the component is its smallest node.
 
     Each round ties every node's larger neighbours to its smallest neighbour, then
@@ -23,7 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").filter("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
         following = materialise(small.unionAll(down.select(F.col("m").alias("lo"), "hi")).distinct(), "edges")
-        now = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi") % 1_000_003), F.countDistinct("hi")).first()
+        # the same edges have the same count and the same two hashes of 64 bits
+        now = following.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("lo", "hi")), F.bit_xor(F.xxhash64("hi", "lo", F.lit(1)))).first()
         drop_table(e.sparkSession, e.inputFiles()[0].rsplit("/", 1)[0]) if e.inputFiles() else None
         e = following
         if now == before or now[0] == 0:
