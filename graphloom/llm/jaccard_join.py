@@ -15,13 +15,15 @@ element among the first ``n - ceil(percent / 100 * n) + 1`` of each (the *prefix
 3. Clusters are expanded: their members' whole sets meet and are verified exactly, as
    counts of common elements by matrix products. Links become components.
 
-An element shared by more than ``BLOCK`` groups, and a cluster with more members, are
-dealt as pairs of blocks; tasks send forests of links, not pairs.
+An element shared by more than ``BLOCK`` groups is dealt as pairs of blocks; members of
+a large cluster meet its leader first, and only those that don't link with it meet all
+members, by pairs of blocks. Tasks send forests of links, not pairs.
 
 Defined results: null texts and texts without words have an empty set, link with
 nothing and are their own component; with fewer words than a shingle the whole
-sequence is the one element; rows with equal ids count once in links, and each row
-is returned; null ids link with nothing; other columns are ignored.
+sequence is the one element; equal rows count once in links; different texts of one
+id link each, under that id, and each row is returned with the component of its own
+text; null ids link with nothing; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -39,10 +41,13 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.llm.components import components
 from graphloom.llm.memos import claim
 from graphloom.llm.repeats import ANSWER, _bucket_of, _pack, _table
-from graphloom.llm.shared import documents, materialise
+from graphloom.llm.shared import documents, materialise, shard_count, shard_of
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles
 
-SHARD_DOCS, BLOCK = 2048, 1024
+#: Documents and bytes of text of a shard; groups of an element that meet in one task.
+SHARD_DOCS, SHARD_BYTES, BLOCK = 2048, 32 << 20, 1024
+#: Members of a cluster that meet as a whole, and of a block where they meet a leader; of a block where the others meet.
+MEMBERS, REST = 96, 256
 #: Words that are hashed together.
 CHUNK = 32_768
 #: Counters of the sketch and the pieces it is added up in; parts of the hash range for the bounds.
@@ -345,13 +350,11 @@ def _filter(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     return _edges(ids, ok | ok.T) if ok.any() else []
 
 
-def _verify(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-    """Exact links among the members of a cluster, or between two of its blocks."""
-    block, ids, sets = zip(*rows)
-    block, ids = np.array(block), np.array(ids)
+def _common(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements each two sets have in common, and how many each has."""
     n = np.array([len(s) // 8 for s in sets])
     elements = np.frombuffer(b"".join(sets), "<u8")
-    owner = np.repeat(np.arange(len(ids)), n)
+    owner = np.repeat(np.arange(len(n)), n)
     order = np.argsort(elements, kind="stable")
     elements, owner = elements[order], owner[order]
     fresh = np.concatenate(([True], elements[1:] != elements[:-1])) if len(elements) else np.empty(0, bool)
@@ -361,21 +364,75 @@ def _verify(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
     number = np.cumsum(useful) - 1
     keep = useful[column]
     column, owner = number[column[keep]], owner[keep]
-    common = np.zeros((len(ids), len(ids)), np.float32)
+    common = np.zeros((len(n), len(n)), np.float32)
     bounds = np.searchsorted(column, np.arange(0, int(useful.sum()) + 4096, 4096))
     for k in range(len(bounds) - 1):
         s, e = bounds[k], bounds[k + 1]
         if s < e:
-            x = np.zeros((len(ids), 4096), np.float32)
+            x = np.zeros((len(n), 4096), np.float32)
             x[owner[s:e], column[s:e] - 4096 * k] = 1
             common += x @ x.T
-    ok = rule.linked(common.astype(np.int64), n[:, None], n[None, :])
-    if key[1] != key[2]:
-        ok &= block[:, None] != block[None, :]
+    return common.astype(np.int64), n
+
+
+def _verify(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+    """Exact links among the members of a cluster, or between its members of part 0 and those of part 1."""
+    part, ids, sets = zip(*rows)
+    part, ids = np.array(part), np.array(ids)
+    common, n = _common(sets)
+    ok = rule.linked(common, n[:, None], n[None, :])
+    if key[1] >= 0:
+        ok &= part[:, None] != part[None, :]
     np.fill_diagonal(ok, False)
     return _edges(ids, ok) if ok.any() else []
 
 
+def _led(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+    """Members of a block of a cluster, each with the leader if they link, else with null."""
+    leaders = [np.frombuffer(s, "<u8") for p, _, s in rows if p == 1]
+    out = []
+    for p, i, s in rows:
+        if p == 0:
+            x, linked = np.frombuffer(s, "<u8"), False
+            for own in leaders:  # one, or the texts of a repeated id
+                at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                linked |= bool(rule.linked(int((own[at] == x).sum()), len(own), len(x)))
+            out.append((i, key[0] if linked else None))
+    return out
+
+
+def _links(rule: Rule, sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links that tie the members of each cluster as all of its links would.
+
+    A cluster of up to ``MEMBERS`` meets as a whole. In a larger one every member meets
+    the leader (its smallest id) first; those that link are one component already, so
+    pairs among them need no check: only the others meet all members, by pairs of blocks.
+    """
+    large = materialise(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MEMBERS), "large")
+    meet = lambda rows, work: rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").select("cluster", "i", "j", "part", "id", "elements").mapInArrow(_streamed(6, partial(work, rule)), "a long, b long")
+    none, number = F.lit(-1), lambda k: F.lit(k).cast("int")
+    if large.isEmpty():
+        return meet(sets.withColumns({"i": none, "j": none, "part": number(0)}), _verify)
+    flagged = materialise(sets.join(large, "cluster", "left"), "sets")
+    whole = meet(flagged.filter("m is null").withColumns({"i": none, "j": none, "part": number(0)}), _verify)
+    many = flagged.filter("m is not null")
+    blocks = F.ceil(F.col("m") / MEMBERS).cast("int")
+    members = many.filter("id <> cluster").withColumns({"i": F.pmod(F.xxhash64("id"), blocks).cast("int"), "j": none, "part": number(0)})
+    leaders = many.filter("id = cluster").withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"j": none, "part": number(1)})
+    met = materialise(meet(members.unionByName(leaders), _led), "led")
+    rest = met.filter("b is null").select(F.col("a").alias("id")).distinct()
+    rest = materialise(rest.join(clusters, "id"), "rest")
+    led = met.filter("b is not null")
+    if rest.isEmpty():
+        return whole.unionAll(led)
+    again = many.join(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("r")), "cluster")
+    wide, tall = F.ceil(F.col("m") / REST).cast("int"), F.ceil(F.col("r") / REST).cast("int")
+    place = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = again.withColumns({"j": place(wide), "i": F.explode(F.sequence(F.lit(0), tall - 1)), "part": number(0)})
+    others = again.join(rest.select("id"), "id", "left_semi").withColumns({"i": place(tall), "j": F.explode(F.sequence(F.lit(0), wide - 1)), "part": number(1)})
+    return whole.unionAll(led).unionAll(meet(every.unionByName(others), _verify))
+
+
 def _dealt(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of each key, in pairs of blocks where ``ids`` has more than ``BLOCK`` of them.
 
@@ -400,8 +457,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id"
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     heat = spark.sparkContext.broadcast(heat_levels(rows, rule))
-    shards = max(1, -(-rows.count() // SHARD_DOCS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    shards = shard_count(rows, "text", SHARD_DOCS, SHARD_BYTES)
+    dealt = rows.withColumn("shard", shard_of("id", "text", shards))
     packed = dealt.groupBy("shard").applyInArrow(_prefixes(shards, heat, rule), PACKED)
     answers = packed.repartition("bucket").sortWithinPartitions("bucket", "kind", "shard").mapInArrow(_meet, ANSWER)
     found = materialise(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_groups(heat, rule), FOUND), "groups")
@@ -413,10 +470,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id"
     clusters = components(ties.unionAll(members)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
     clusters = materialise(clusters, "clusters")
-    members = rows.join(clusters, "id").dropDuplicates(["id"]).select("cluster", "id", "text")
+    members = rows.join(clusters, "id").dropDuplicates(["id", "text"]).select("cluster", "id", "text")
     sets = members.mapInArrow(partial(_whole_sets, rule.shingle), "cluster long, id long, elements binary")
-    expanded = _dealt(sets, "cluster", clusters.select("cluster")).select("cluster", "i", "j", "block", "id", "elements")
-    links = expanded.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id").mapInArrow(_streamed(6, partial(_verify, rule)), "a long, b long")
+    links = _links(rule, sets, clusters)
     joined = components(links)
 
     everyone = found.filter(F.col("kind") == DOC).select("id", "other", "n")

@@ -2,7 +2,8 @@
 
 A text becomes a normalised TF-IDF vector of its byte trigrams: lower-cased UTF-8
 with everything that is no letter (ASCII controls, digits, punctuation) turned to
-blanks, hashed to ``DIMS`` places, (1 + log tf) * idf. Spherical k-means clusters
+blanks, hashed to ``DIMS`` places, log(1 + tf) * idf, with tf up to 65,535 in
+training. Spherical k-means clusters
 the training vectors of each language; a text gets the language of the centroid
 nearest by cosine. A text farther from its centroid than ``SLACK`` times the lowest
 similarities seen in training, at its length, is rejected.
@@ -27,8 +28,8 @@ from graphloom.llm.shared import documents, fold
 from graphloom.llm.textkit import encode
 
 UNDETERMINED = "und"
-#: Hashed places; training texts per language at most, and in all; centroids per language.
-DIMS, ROWS_PER_LANG, ROWS, CENTROIDS = 4096, 600, 30_000, 4
+#: Hashed places; training texts per language at most, and in all; of a language at least; centroids per language.
+DIMS, ROWS_PER_LANG, ROWS, LEAST_ROWS, CENTROIDS = 4096, 600, 30_000, 20, 4
 #: Rejection: share of the similarity that the worst training texts of that length have.
 SLACK, LENGTH_CLASSES = 0.35, 14
 
@@ -132,15 +133,18 @@ def fit(langs: list[str], tf: np.ndarray) -> Centroids:
 
 
 def train(docs: DataFrame, keep: Column | None = None) -> Centroids:
-    """Fit on at most ``ROWS_PER_LANG`` texts of each language (``ROWS`` in all) for which ``keep`` (on doc_id) holds."""
+    """Fit on texts for which ``keep`` (on doc_id) holds: about ``ROWS_PER_LANG`` of each language, fewer where
+    languages are many (``ROWS`` in all), but ``LEAST_ROWS`` of each, or all that it has; no language is left out."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep)).select("doc_id", "lang")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ROWS // 100).collect()}
-    if not sizes:
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sizes.count()
+    if not langs:
         return fit([], np.zeros((0, DIMS), np.float32))
-    each = min(ROWS_PER_LANG, max(100, ROWS // len(sizes)))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, each / n))])
-    picked = labelled.filter((F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64) + 0.5) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    chosen = bounded_rows(picked, ROWS, F.col("doc_id"), F.col("lang"))
+    each = min(ROWS_PER_LANG, max(LEAST_ROWS, ROWS // langs))
+    # as many rows as languages: Spark's own check of the size decides whether they are broadcast
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
+    picked = labelled.join(shares, "lang").filter((F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64) + 0.5) < F.col("share")).select("doc_id", "lang")
+    chosen = bounded_rows(picked.distinct(), max(ROWS, 2 * LEAST_ROWS * langs), F.col("doc_id"), F.col("lang"))
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
     def run(batches):

@@ -3,8 +3,8 @@
 A window is ``WINDOW`` consecutive words of a document. A word goes when it lies in
 a window whose words also start, in the same order, in a document with a smaller id.
 
-Documents are dealt to shards of about ``SHARD_DOCS`` by a hash of their id, and
-three passes run over the shards:
+Documents are dealt to shards of about ``SHARD_DOCS`` documents or ``SHARD_BYTES`` of
+text by a hash of their id (of their text, where that is null), and three passes run over the shards:
 
 1. *Phrases.* Of every window the ``PHRASE`` consecutive words with the least hash
    are chosen, so equal windows choose equal phrases. Phrases that occur in two
@@ -21,7 +21,8 @@ that a third of all documents share is one entry a shard, not one a document.
 
 Defined results: null and empty texts have no word and lose none; documents with
 fewer words than a window lose none; rows with equal ids are not compared with each
-other; null ids are compared with nothing; other columns are ignored.
+other; null ids are compared with nothing; other columns are ignored; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -37,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.memos import claim
-from graphloom.llm.shared import documents
+from graphloom.llm.shared import documents, shard_count, shard_of
 from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles, sliding_min
 
-WINDOW, PHRASE, SHARD_DOCS = 50, 5, 2048
+WINDOW, PHRASE = 50, 5
+#: Documents and bytes of text of a shard.
+SHARD_DOCS, SHARD_BYTES = 2048, 32 << 20
 #: Characters that stand for a word in the automaton's texts and bits of each; words hashed together.
 LETTERS, LETTER_BITS, CHUNK = 3, 6, 32_768
 PHRASES, COPIES, WINDOWS = 0, 1, 2
@@ -335,10 +338,9 @@ def _removal(finish: Callable, made: str, carried: list[str]):
 
 def remove_repeats(docs: DataFrame, finish: Callable = digests, made: str = DIGESTS, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``id``, what ``finish(words, covered)`` makes of each document (``made`` names its columns), and the ``carry`` columns."""
-    n = docs.count()
-    shards = max(1, -(-n // SHARD_DOCS))
+    shards = shard_count(docs, text, SHARD_DOCS, SHARD_BYTES)
     also = {f"carried_{i}": F.col(c) for i, c in enumerate(carry)}
-    dealt = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shards)).cast("int").alias("shard"), *(c.alias(n) for n, c in also.items()))
+    dealt = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *(c.alias(n) for n, c in also.items())).withColumn("shard", shard_of("id", "text", shards))
     meet = lambda packed: packed.repartition("bucket").sortWithinPartitions("bucket", "kind", "shard").mapInArrow(_meet, ANSWER)
     recurring = meet(dealt.groupBy("shard").applyInArrow(_phrases(shards), PACKED))
     located = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_windows(shards), PACKED)

@@ -6,18 +6,20 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows per Arrow batch handed to Python; keeps a batch of long texts small.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch handed to Python; keeps a batch of long texts small.
+ARROW_ROWS, ARROW_BYTES = 512, "32m"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; a local one only where that is unset (tests), and never on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/graphloom-checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(path)
@@ -52,8 +54,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch so that long texts do not pile up in a Python worker."""
+    """Bound the rows and bytes of an Arrow batch so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+def shard_count(docs: DataFrame, text: str, most_docs: int, most_bytes: int) -> int:
+    """Shards for a table, so that one has no more documents and bytes of text than these on average."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    return max(1, -(-n // most_docs), -(-(size or 0) // most_bytes))
+
+
+def shard_of(key: str, text: str, shards: int) -> Column:
+    """A document's shard: by its id, or by its text where it has none."""
+    return F.pmod(F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text)), F.lit(shards)).cast("int")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

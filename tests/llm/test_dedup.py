@@ -38,6 +38,9 @@ def expected_components(rows, rule=jaccard_join.CONTRACT):
 @pytest.mark.parametrize("block, rule", [(1024, jaccard_join.CONTRACT), (4, jaccard_join.CONTRACT), (4, jaccard_join.Rule())])
 def test_jaccard_against_all_pairs(spark, make_docs, prose, odd_texts, block, rule, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    if block == 4:
+        monkeypatch.setattr(jaccard_join, "MEMBERS", 3)
+        monkeypatch.setattr(jaccard_join, "REST", 2)
     rows = prose + odd_texts
     label, sets, links = expected_components(rows, rule)
     assert len(links) > 10
@@ -50,6 +53,21 @@ def test_jaccard_against_all_pairs(spark, make_docs, prose, odd_texts, block, ru
             assert (r.component_id, r.n_shingles) == (label[r.doc_id], len(sets[r.doc_id])), r
 
 
+def test_members_that_the_leader_does_not_link(spark, make_docs, monkeypatch):
+    """A text that drifts word by word: neighbours link, the first and the last don't."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 5)
+    monkeypatch.setattr(jaccard_join, "REST", 3)
+    words, rows = [f"w{k}" for k in range(120)], []
+    for i in range(60):
+        if i % 2 == 0:
+            words[(i * 3) % 120] = f"x{i}"
+        rows.append((500 - i, " ".join(words) + f" y{i}"))
+    rows += [(700, rows[0][1]), (701, rows[50][1])]
+    label, _, links = expected_components(rows)
+    assert len(set(label.values())) == 1 and len(links) < 62 * 61 / 4
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(make_docs(rows), jaccard_join.CONTRACT).collect()} == label
+
+
 def test_jaccard_over_many_shards(spark, make_docs, prose, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHARD_DOCS", 9)
     label, _, _ = expected_components(prose)
