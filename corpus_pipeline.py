@@ -28,23 +28,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic; learns from the labels of documents outside the held-out fold."""
+    """Drops documents that score as toxic; learns from the labels of documents outside the held-out fold.
+
+    Null and empty texts score as clean; without labels nothing is dropped; repeated rows score alike.
+    """
     small_batches(spark)
     scored = toxicity.score(docs.select(*COLUMNS), toxicity.learned(spark, docs, sf_dir), keep=COLUMNS)
     return scored.filter("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id; null ids are in no group."""
+    """Keeps of each group of near-duplicates the document with the smallest id; null ids are in no group.
+
+    Where that id has several texts, all of them stay; of rows that are equal in all columns one does.
+    """
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     first = jaccard_join.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi")
+    repeated = materialise(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionAll(kept.join(repeated, "doc_id", "left_semi").distinct())
     return kept.unionAll(docs.filter(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages that an earlier document has out of the text; a document stays even where no word does."""
+    """Takes passages that an earlier document has out of the text; a document stays even where no word does.
+
+    A text that loses nothing, null ones too, stays as it is; rows with equal ids are not compared.
+    """
     small_batches(spark)
     cut = repeats.remove_repeats(docs.select(*COLUMNS), repeats.kept_text, repeats.KEPT, carry=COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -53,7 +65,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training windows: every id of every document lies in one."""
+    """Pieces of training windows: every id of every document lies in one; a null text is one end id, repeated rows are packed each."""
     small_batches(spark)
     return packing.pack_table(docs, packing.encoder_for())
 
