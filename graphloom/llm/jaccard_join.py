@@ -47,7 +47,7 @@ from graphloom.llm.textkit import U64, WordHashes, encode, mix, shingles
 #: Documents and bytes of text of a shard; groups of an element that meet in one task.
 SHARD_DOCS, SHARD_BYTES, BLOCK = 2048, 32 << 20, 1024
 #: Members of a cluster that meet as a whole, and of a block where they meet a leader; of a block where the others meet.
-MEMBERS, REST = 96, 256
+MEMBERS, REST = 96, 96
 #: Words that are hashed together.
 CHUNK = 32_768
 #: Counters of the sketch and the pieces it is added up in; parts of the hash range for the bounds.

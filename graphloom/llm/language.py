@@ -30,6 +30,8 @@ from graphloom.llm.textkit import encode
 UNDETERMINED = "und"
 #: Hashed places; training texts per language at most, and in all; of a language at least; centroids per language.
 DIMS, ROWS_PER_LANG, ROWS, LEAST_ROWS, CENTROIDS = 4096, 600, 30_000, 20, 4
+#: Most languages whose shares are broadcast.
+FEW_LANGS = 100_000
 #: Rejection: share of the similarity that the worst training texts of that length have.
 SLACK, LENGTH_CLASSES = 0.35, 14
 
@@ -141,9 +143,9 @@ def train(docs: DataFrame, keep: Column | None = None) -> Centroids:
     if not langs:
         return fit([], np.zeros((0, DIMS), np.float32))
     each = min(ROWS_PER_LANG, max(LEAST_ROWS, ROWS // langs))
-    # as many rows as languages: Spark's own check of the size decides whether they are broadcast
     shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
-    picked = labelled.join(shares, "lang").filter((F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64) + 0.5) < F.col("share")).select("doc_id", "lang")
+    # a row a language: broadcast, as a third of all rows may have one language, while they are few
+    picked = labelled.join(F.broadcast(shares) if langs <= FEW_LANGS else shares, "lang").filter((F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64) + 0.5) < F.col("share")).select("doc_id", "lang")
     chosen = bounded_rows(picked.distinct(), max(ROWS, 2 * LEAST_ROWS * langs), F.col("doc_id"), F.col("lang"))
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
