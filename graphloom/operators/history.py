@@ -24,25 +24,31 @@ def until(commits: DataFrame, base: str) -> DataFrame:
     return commits.filter(F.col("ts") <= F.lit(base).cast("timestamp_ntz"))
 
 
-def alive_changes(changes: DataFrame, commits: DataFrame, tree: DataFrame, base: str, most: int) -> DataFrame:
-    """sha, ts, file, age of small commits up to ``base``, for files that the tree still has."""
-    dated = bulk_filter(changes, most).join(until(commits, base), "sha")
+def alive_changes(changes: DataFrame, commits: DataFrame, tree: DataFrame, base: str, most: int, dated_only: bool = False) -> DataFrame:
+    """sha, ts, file, age of small commits up to ``base``, for files that the tree still has.
+
+    Where ``commits`` are already those that a revision reaches, pass ``dated_only``: then
+    the date of the base gives ages, and a commit dated after it counts with age 0.
+    """
+    dated = bulk_filter(changes, most).join(commits if dated_only else until(commits, base), "sha")
     return dated.join(tree.select("file"), "file", "left_semi").withColumn("age", age_days(F.col("ts"), base))
 
 
-def ancestors(parents: DataFrame, base: DataFrame, rounds: int = 200) -> DataFrame:
+def ancestors(parents: DataFrame, base: DataFrame, rounds: int = 64) -> DataFrame:
     """base, sha of everything reachable from each base revision, itself included.
 
-    Frontier joins by pointer doubling: round k knows the ancestor 2**k steps up, so
-    a chain of n commits takes log2(n) rounds; each round cuts its lineage.
+    Round k has the hops of exactly 2**k steps and extends what has been found by them, so
+    a chain of n commits takes log2(n) rounds, and a commit's hops don't grow with the
+    depth of the graph. A round that finds nothing new is the last. Each cuts its lineage.
     """
-    hop = parents.select("sha", F.col("parent").alias("up"))
-    found = base.select(F.col("sha").alias("base"), "sha")
+    hop = parents.filter("parent is not null").select("sha", F.col("parent").alias("up")).distinct().checkpoint()
+    found = base.select(F.col("sha").alias("base"), "sha").distinct().checkpoint()
     known = found.count()
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k:
+            hop = hop.alias("a").join(hop.alias("b"), F.col("a.up") == F.col("b.sha")).select("a.sha", "b.up").distinct().checkpoint()
         more = found.join(hop, "sha").select("base", F.col("up").alias("sha"))
         found = found.unionAll(more).distinct().checkpoint()
-        hop = hop.unionAll(hop.alias("a").join(hop.alias("b"), F.col("a.up") == F.col("b.sha")).select("a.sha", "b.up")).distinct().checkpoint()
         now = found.count()
         if now == known:
             return found
@@ -50,6 +56,11 @@ def ancestors(parents: DataFrame, base: DataFrame, rounds: int = 200) -> DataFra
     raise RuntimeError("ancestry is deeper than the rounds allow")
 
 
+def reachable(commits: DataFrame, parents: DataFrame, heads: DataFrame) -> DataFrame:
+    """The commits that are ancestors of a head, or heads: neither later ones nor those of other branches."""
+    return commits.join(ancestors(parents, heads).select("sha").distinct(), "sha", "left_semi")
+
+
 def cochange_pairs(alive: DataFrame, decay: float = DECAY) -> DataFrame:
     """src < dst, raw count, decayed weight and last time, in one aggregation over the self-join.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from graphloom.session import shared_folder
 from graphloom.sources.tables import SQL, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,10 +39,7 @@ def query(name: str, select: str | None = None, *parts: str, recursive: bool = F
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             if spark.sparkContext.getCheckpointDir() is None:
-                import tempfile
-
-                where = spark.conf.get("spark.checkpoint.dir", None)
-                spark.sparkContext.setCheckpointDir(where or f"{tempfile.gettempdir()}/graphloom-checkpoints")
+                spark.sparkContext.setCheckpointDir(shared_folder(spark))
             return plain(make(Model(spark, sf_dir)))
 
         run.__name__ = run.__qualname__ = name

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from graphloom.plans.registry import query
+from graphloom.session import shared_folder
 from graphloom.sources.tables import BASE, BULK, Model
 from graphloom.streaming import pairs as stream_pairs
 
@@ -17,7 +17,7 @@ ANCHOR = "1995-01-01 00:00:00"
 @query("stream_pairs", "select src, dst, raw, round(decayed, 6) as decayed, epoch(last)::bigint as last from pairs")
 def streamed(m: Model):
     spark = m.spark
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/graphloom-checkpoints'}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table = m.table("orders")
     reader = spark.readStream.schema(table.schema)
     # a stream reads folders: a table of one file is picked out of its folder by name
