@@ -131,11 +131,14 @@ def backfill(ranked: Column, candidates: Column) -> Column:
     return F.array_distinct(F.concat(ranked, candidates))
 
 
-def parse_reply(raw: Column, candidates: Column) -> Column:
-    """The first bracketed list in a reply: known files in its order, once each; null where none can be read."""
+def parse_reply(raw: Column, candidates: Column, most: int | None = None) -> Column:
+    """The first bracketed list in a reply: known files in its order, once each.
+
+    Where none can be read the candidates stay in their order: all of them, or the first ``most``.
+    """
     listed = F.from_json(F.regexp_extract(raw, r"(?s)\[.*?\]", 0), "array<string>")
     known = F.array_intersect(F.transform(listed, lambda x: F.trim(x)), candidates)
-    return F.when(F.size(known) > 0, known)
+    return F.when(F.size(known) > 0, known).otherwise(candidates if most is None else F.slice(candidates, 1, most))
 
 
 def prompt(issue: Column, candidates: Column) -> Column:

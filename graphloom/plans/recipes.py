@@ -110,7 +110,7 @@ ABLATION = {
     **{f"prop_{n}step": replace(ABLATED, steps=n) for n in (1, 2, 3)},
     "damp_03": replace(ABLATED, damping=0.3),
     "damp_07": replace(ABLATED, damping=0.7),
-    "fuse_scoresum": replace(ABLATED, fuse="sum", depths={"ppr_bm": 10**9, "ppr_gr": 10**9, "rec": 200}),
+    "fuse_scoresum": replace(ABLATED, fuse="sum", depths={"ppr_bm": 10**9, "ppr_gr": 10**9, "rec": 10**9}),
     "fuse_union": replace(ABLATED, fuse="union", caps=UNION.caps),
     "rrf_k20": replace(ABLATED, k=20),
     "rrf_k80": replace(ABLATED, k=80),
@@ -175,11 +175,20 @@ class Context:
         return retrieval.quoted_paths(self.m.issues, self.m.tree).persist()
 
     @cached_property
-    def recent(self) -> DataFrame:
+    def all_recent(self) -> DataFrame:
+        """file, score, rank: one list for all queries."""
         one = self.priors.select(F.lit(0).alias("qid"), "file", F.col("recency").alias("score"), (-F.unix_timestamp(F.col("last").cast("timestamp"))).alias("older"))
-        ranked = graph.ranked(one, None, "older").drop("qid", "older")
-        # one list for all queries; a file outside its first 200 takes part only in the score sum
-        return self.m.issues.select("qid").join(F.broadcast(ranked.filter(F.col("rank") <= 2 * fusion.DEPTH)))
+        return graph.ranked(one, None, "older").drop("qid", "older")
+
+    @cached_property
+    def recent(self) -> DataFrame:
+        return self.m.issues.select("qid").join(F.broadcast(self.all_recent.filter(F.col("rank") <= 2 * fusion.DEPTH)))
+
+    def recent_with(self, others: DataFrame) -> DataFrame:
+        """The whole recency list as far as it can matter to a sum: its first files, and the place of every file that
+        another list of the query has. A file in no other list and after the first is behind all of those."""
+        own = others.select("qid", "file").distinct().join(self.all_recent, "file").select("qid", "file", "score", "rank")
+        return self.recent.select("qid", "file", "score", "rank").unionAll(own).distinct()
 
     @cached_property
     def static_rows(self) -> DataFrame:
@@ -221,7 +230,11 @@ class Context:
         """qid, file, rank of every issue under a recipe."""
         names = tuple(r.caps) if r.fuse == "union" else r.lists
         depths = {"path": 60, "expl": 10, **{n: r.depth for n in names if n not in ("path", "expl")}, **r.depths}
-        lists = fusion.list_table({n: self.ranking(n, r) for n in names}, depths)
+        made = {n: self.ranking(n, r) for n in names}
+        if r.fuse == "sum" and "rec" in made:
+            others = fusion.list_table({n: df for n, df in made.items() if n != "rec"}, depths)
+            made["rec"] = self.recent_with(others)
+        lists = fusion.list_table(made, depths)
         over = 2 * fusion.DEPTH
         if r.fuse == "union":
             out = fusion.capped_union(lists, r.caps, top=over)

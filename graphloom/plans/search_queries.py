@@ -227,6 +227,21 @@ for _name, _alpha, _rows in (("static", 1.0, "srows"), ("temporal", 0.0, "trows"
         return _impact(m, mixed_rows(m, alpha))
 
 
+@query(
+    "impact_freq",
+    "select qid, file, freq as score, row_number() over (partition by qid order by freq desc, last desc, file) as rank from (select distinct file as qid from gold where file in (select file from tree)), (select file, count(*) as freq, max(ts) as last from alive group by file order by freq desc, last desc, file limit 21) where file <> qid qualify rank <= 20",
+)
+def impact_freq(m):
+    """The most often changed files, for any file: one list of 21 that every query leaves itself out of."""
+    from pyspark.sql import Window as W
+
+    focus = m.gold.select(F.col("file").alias("qid")).distinct().join(m.tree.select(F.col("file").alias("qid")), "qid", "left_semi")
+    top = history.priors(alive(m)).orderBy(F.desc("freq"), F.desc("last"), "file").limit(21)
+    met = focus.join(F.broadcast(top)).filter("file <> qid")
+    w = W.partitionBy("qid").orderBy(F.desc("freq"), F.desc("last"), "file")
+    return met.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("qid", "file", F.col("freq").alias("score"), "rank")
+
+
 # ---------------------------------------------------------------- fusion
 
 
@@ -365,6 +380,19 @@ def reply(m):
     return said.select("conv_id", F.array_join(fusion.parse_reply(F.col("raw"), cands), ",").alias("ranked"))
 
 
+@query(
+    "parse_reply_fallback",
+    "select conv_id, case when conv_id % 3 = 0 then 'user,assistant,tool,system' when conv_id % 3 = 1 then 'tool' else 'user,assistant,tool,system' end as ranked, case when conv_id % 3 = 1 then 'tool' else 'user,assistant' end as first from (select distinct conv_id from conversations)",
+)
+def broken_replies(m):
+    """Replies without a list, with a good one, and with one that is no JSON."""
+    cands = F.array(*map(F.lit, ("user", "assistant", "tool", "system")))
+    key = F.col("conv_id") % 3
+    raw = F.when(key == 0, "no list at all").when(key == 1, 'so: ["zz", "tool"]').otherwise('["user", assistant]')
+    text = lambda c: F.array_join(c, ",")
+    return m.table("conversations").select("conv_id").distinct().select("conv_id", text(fusion.parse_reply(raw, cands)).alias("ranked"), text(fusion.parse_reply(raw, cands, 2)).alias("first"))
+
+
 @query(
     "backfill",
     "select conv_id, array_to_string(list_concat(got, list_filter(['user', 'assistant', 'tool'], lambda x: not list_contains(got, x))), ',') as ranked from (select conv_id, case when min(role) = max(role) then [min(role)] else [max(role), min(role)] end as got from conversations group by conv_id)",
@@ -581,14 +609,53 @@ def recipes_sources(m):
     return recipes.accuracy(recipes.Context(m).sweep(chosen), m.gold)
 
 
-@query("schemes", "select conv_id, array_to_string(list_concat(list_slice(list_sort(turns), 1, 10), list_filter(list_slice(turns, 1, 50), lambda x: not list_contains(list_slice(list_sort(turns), 1, 10), x))), ',') as base50 from (select conv_id, list(lower(sha1(text)) order by turn) as turns from (select conv_id, text, min(turn) as turn from conversations where text is not null group by 1, 2) group by 1)")
+def _both(*lists: str) -> str:
+    """Ordered union of two lists in the other engine's SQL."""
+    return f"list_concat({lists[0]}, list_filter({lists[1]}, lambda x: not list_contains({lists[0]}, x)))"
+
+
+def _best(c: str, n: int) -> str:
+    return f"list_slice(list_sort({c}), 1, {n})"
+
+
+_CANDS = "cands as (select user_id, list(h order by first) as c from (select user_id, sha1(event_type || floor(value)::int) as h, min(event_id) as first from events group by 1, 2) group by 1)"
+#: Steps of each scheme, every one a column that the next ones may use; the last is the answer.
+_SCHEMES = {
+    "base50": ("list_slice(c, 1, 50)", _best("{0}", 10), _both("{1}", "{0}")),
+    "base100": ("list_slice(c, 1, 100)", _best("{0}", 10), _both("{1}", "{0}")),
+    "cascade": ("list_slice(c, 1, 100)", *(_best(f"list_slice({{0}}, {i}, {i + 24})", 8) for i in (1, 26, 51, 76)), _both("{1}", "{2}"), _both("{5}", "{3}"), _both("{6}", "{4}"), _best("{7}", 10), _both("{8}", "{7}"), _both("{9}", "{0}")),
+    "window": (_best("list_slice(c, 51, 100)", 10), _both("list_slice(c, 21, 50)", "{0}"), _best("{1}", 10), _both("list_slice(c, 1, 20)", "{2}"), _best("{3}", 10), _both("{4}", "list_slice(c, 1, 100)")),
+    "refine2": (_best("list_slice(c, 1, 50)", 10), _both("{0}", "list_slice(c, 51, 90)"), _best("{1}", 10), _both("{2}", "{0}"), _both("{3}", "list_slice(c, 1, 100)")),
+    "twopass": (_best("list_slice(c, 1, 50)", 10), _best("list_slice(c, 51, 100)", 10), _both("{0}", "{1}"), _best("{2}", 10), _both("{3}", "{0}"), _both("{4}", "list_slice(c, 1, 100)")),
+    "anchor": ("list_slice(c, 1, 50)", _best("{0}", 10), "list_slice({1}, 1, 1)", _best("list_filter({0}, lambda x: not list_contains({2}, x))", 6), _both("{2}", "{3}"), _both("{4}", "{1}"), _both("{5}", "c")),
+}
+
+
+def _scheme_sql() -> tuple[str, ...]:
+    parts = [_CANDS]
+    for name, steps in _SCHEMES.items():
+        before = "cands"
+        for i, step in enumerate(steps):
+            parts.append(f"{name}_{i} as (select *, {step.format(*(f's{k}' for k in range(i)))} as s{i} from {before})")
+            before = f"{name}_{i}"
+    return tuple(parts)
+
+
+@query(
+    "schemes",
+    " union all ".join(f"select user_id, '{name}' as scheme, md5(array_to_string(s{len(steps) - 1}, ',')) as ranked from {name}_{len(steps) - 1}" for name, steps in _SCHEMES.items()),
+    *_scheme_sql(),
+)
 def scheme(m):
-    """A scheme around a scorer that sorts: each conversation's texts by their hash."""
+    """All seven schemes around a scorer that sorts: each user's distinct events by their hash."""
     from graphloom.plans import schemes
 
-    texts = m.table("conversations").filter("text is not null").groupBy("conv_id", "text").agg(F.min("turn").alias("turn"))
-    listed = texts.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.sha1(F.col("text")).alias("h")))), lambda x: x["h"]).alias("c"))
-    return listed.select("conv_id", F.array_join(schemes.base(lambda a, n: F.slice(F.array_sort(a), 1, n), F.col("c")), ",").alias("base50"))
+    events = m.table("events").withColumn("h", F.sha1(F.concat("event_type", F.floor("value").cast("int").cast("string"))))
+    first = events.groupBy("user_id", "h").agg(F.min("event_id").alias("first"))
+    listed = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "h"))), lambda x: x["h"]).alias("c"))
+    score = lambda a, n: F.slice(F.array_sort(a), 1, n)
+    out = F.explode(F.map_from_arrays(F.array(*map(F.lit, schemes.SCHEMES)), F.array(*(F.md5(F.array_join(make(score, F.col("c")), ",")) for make in schemes.SCHEMES.values()))))
+    return listed.select("user_id", out.alias("scheme", "ranked"))
 
 
 LEAVE_OUT = (
@@ -626,13 +693,22 @@ def impact_eval(m):
     return found.select("sha", "seed", "n_gold", F.round(F.col("k") / F.col("n_gold"), 6).alias("r10"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
-@query("companion_expansion", "select qid, file, rank from (select qid, file, row_number() over (partition by qid order by place, w desc, file) as rank from (select qid, file, min(place) as place, max(w) as w from (select qid, file, rank as place, 0.0 as w from bm where rank <= 3 union all select b.qid, e.dst, 10, e.w from bm b join (select src, dst, round(decayed, 6) as w, row_number() over (partition by src order by round(decayed, 6) desc, dst) as r from both_ways) e on e.src = b.file and e.r <= 5 where b.rank <= 3) group by 1, 2)) where rank <= 15", *LAYERS, *BM)
+@query(
+    "companion_expansion",
+    "select qid, file, rank from (select qid, file, row_number() over (partition by qid order by place, w desc, file) as rank from (select qid, file, min(place) as place, max(w) as w from (select qid, file, rank as place, 0.0 as w from bm where rank <= 3 union all select b.qid, e.dst, 10, e.w from bm b join (select src, dst, round(decayed, 6) as w, row_number() over (partition by src order by round(decayed, 6) desc, dst) as r from every_way) e on e.src = b.file and e.r <= 5 where b.rank <= 3) group by 1, 2)) where rank <= 15",
+    *BM,
+    "every as (select a.file as src, b.file as dst, sum(exp(-a.age / 90.0)) as decayed from history a join history b on a.sha = b.sha and a.file < b.file group by 1, 2)",
+    "every_way as (select src, dst, decayed from every union all select dst, src, decayed from every)",
+)
 def companions(m):
-    """The first three files, then each one's five strongest co-change neighbours, fifteen in all."""
+    """The first three files, then each one's five strongest co-change neighbours, in the tree or not, fifteen in all."""
     from pyspark.sql import Window as W
 
+    from graphloom.sources.tables import BASE, BULK
+
+    live = history.bulk_filter(m.changes, BULK).join(history.until(m.commits, BASE), "sha").withColumn("age", history.age_days(F.col("ts"), BASE))
     head = bm(m).filter("rank <= 3").select("qid", "file", "rank")
-    near = history.symmetric(pairs(m), "decayed").withColumn("w", F.round("decayed", 6))
+    near = history.symmetric(history.cochange_pairs(live), "decayed").withColumn("w", F.round("decayed", 6))
     near = near.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))).filter("r <= 5")
     more = head.join(near.select(F.col("src").alias("file"), "dst", "w"), "file").select("qid", F.col("dst").alias("file"), F.lit(10).alias("place"), "w")
     every = head.select("qid", "file", F.col("rank").alias("place"), F.lit(0.0).alias("w")).unionAll(more).groupBy("qid", "file").agg(F.min("place").alias("place"), F.max("w").alias("w"))

@@ -154,7 +154,7 @@ def test_reply_and_backfill(spark):
     parsed = fusion.parse_reply(F.lit('x ["b","zz","b"," a "] y'), cands)
     bad = fusion.parse_reply(F.lit("no list"), cands)
     r = spark.range(1).select(parsed.alias("p"), fusion.backfill(parsed, cands).alias("f"), bad.alias("b")).first()
-    assert (r.p, r.f, r.b) == (["b", "a"], ["b", "a", "c"], None)
+    assert (r.p, r.f, r.b) == (["b", "a"], ["b", "a", "c"], ["a", "b", "c"])  # an unreadable reply leaves the order as it is
 
 
 def test_imports():
@@ -239,3 +239,68 @@ def test_quartiles_keep_ties_low(spark):
     df = spark.createDataFrame([(v,) for v in [1, 1, 1, 1, 5, 6, 7, 8]], "v int")
     got = sorted((r.v, r.bucket) for r in evaluation.quartile_buckets(df, "v").collect())
     assert got == [(1, 1)] * 4 + [(5, 2), (6, 3), (7, 3), (8, 4)]
+
+
+def test_text_extensions():
+    from graphloom.sources.logs import TEXT_EXTENSIONS
+
+    assert sorted(TEXT_EXTENSIONS) == sorted("cfg ini md py rst toml txt yaml yml".split())
+
+
+def test_ancestry_leaves_out_later_and_other_commits(spark):
+    """1 - 2 - 4 (merge of 2 and 3) - 5 and a branch 2 - 6; the head is 4. A cycle ends too."""
+    parents = spark.createDataFrame([(2, 1), (4, 2), (4, 3), (3, 1), (5, 4), (6, 2), (1, None)], "sha long, parent long")
+    head = spark.createDataFrame([(4,)], "sha long")
+    assert {r.sha for r in history.ancestors(parents, head).collect()} == {1, 2, 3, 4}
+    commits = spark.createDataFrame([(i, i) for i in range(1, 7)], "sha long, ts long")
+    assert {r.sha for r in history.reachable(commits, parents, head).collect()} == {1, 2, 3, 4}
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 130)], "sha long, parent long")
+    assert history.ancestors(chain, spark.createDataFrame([(100,), (7,)], "sha long")).count() == 101 + 8
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "sha long, parent long")
+    assert {r.sha for r in history.ancestors(loop, spark.createDataFrame([(1,)], "sha long")).collect()} == {1, 2, 3}
+
+
+def test_blobs_are_cut_and_made_valid(spark):
+    from graphloom.sources import logs
+
+    tree = spark.createDataFrame([(1, "a.py", "x"), (2, "b.py", "x"), (3, "c.png", "y"), (4, "d.md", "z")], "file long, path string, blob string")
+    blobs = spark.createDataFrame([("x", b"abc\xff\xc3\xa9def"), ("x", b"abc\xff\xc3\xa9def"), ("y", b"pic"), ("w", b"not in the tree")], "blob string, content binary")
+    texts = logs.blob_texts(tree, blobs, most=6)
+    assert {(r.blob, r.text) for r in texts.collect()} == {("x", "abc�é"), ("y", "pic")}
+    assert {(r.file, r.text) for r in logs.file_texts(tree, texts).collect()} == {(1, "abc�é"), (2, "abc�é")}
+
+
+def test_index_is_stored_listed_and_replaced(spark, tmp_path):
+    from graphloom.sources import logs
+
+    root = f"file://{tmp_path}/indexes"
+    assert logs.list_snapshots(spark, root).count() == 0
+    for rev, n in (("v1", 3), ("v2", 4), ("v1", 5)):
+        logs.save_snapshot({"files": spark.range(n), "pairs": spark.range(2)}, root, "owner/name", rev)
+    assert [tuple(r) for r in logs.list_snapshots(spark, root).collect()] == [("owner/name", "v1"), ("owner/name", "v2")]
+    assert logs.load_snapshot(spark, root, "owner/name", "v1", ["files"])["files"].count() == 5
+    assert logs.load_snapshot(spark, root, "owner/name", "v3", ["files"]) is None
+
+
+def test_requests_are_checked():
+    import pytest
+    from graphloom.operators import checks
+
+    assert [checks.clamped(d) for d in (None, 0, 3, 55, 999)] == [50, 50, 10, 55, 100]
+    assert checks.checked_revision(None) == "HEAD" and checks.checked_revision("v1.2~3^-x/y_z") == "v1.2~3^-x/y_z"
+    for bad in ("a b", "--", "$(x)", "a;b"):
+        with pytest.raises(ValueError):
+            checks.checked_revision(bad)
+    with pytest.raises(ValueError):
+        checks.checked_issue("  short   ")
+    assert checks.checked_issue(" long enough text ") == "long enough text"
+
+
+def test_log_headers_carry_over_runs(spark, monkeypatch):
+    from graphloom.sources import logs
+
+    monkeypatch.setattr(logs, "RUN_LINES", 2)
+    lines = ["\x01a\t10", "1\t1\tx.py", "1\t1\ty.py", "1\t0\tz.md", "", "\x01b\t20", "2\t2\tx.py", "2\t2\tw.py", "3\t1\tv.py"]
+    commits, changes = logs.history_log(spark.createDataFrame(list(enumerate(lines)), "n long, value string"))
+    assert {tuple(r) for r in commits.collect()} == {("a", 10), ("b", 20)}
+    assert {tuple(r) for r in changes.collect()} == {("a", "x.py"), ("a", "y.py"), ("b", "x.py"), ("b", "w.py"), ("b", "v.py")}
