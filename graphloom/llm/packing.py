@@ -45,8 +45,8 @@ FIRST, COMMON, CELLS = 32, 4, 1 << 23
 #: Documents of each partition, and in all, that the bounds of the ranges are taken from.
 BOUND_ROWS, MOST_BOUND_ROWS = 64, 200_000
 TOKENIZER = "word_bpe_49k.json"
-#: Units that a worker remembers between tasks.
-UNITS = 1_000_000
+#: Units that a worker remembers between tasks; rows and bytes of text that are encoded together.
+UNITS, GATHERED_ROWS, GATHERED_BYTES = 1_000_000, 2048, 12 << 20
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -166,10 +166,9 @@ def pack(docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         sequence += 1
 
 
-def closed(ids: np.ndarray) -> bytes:
-    """Ids and the end id, in two bytes each where they fit."""
-    kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
-    return np.append(ids, np.uint32(END_ID)).astype(kind).tobytes()
+def narrow(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit."""
+    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
 
 
 def widened(ids: bytes, n: int) -> np.ndarray:
@@ -193,17 +192,36 @@ def telling(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float) -> list
     return [terms[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
+def _gathered(batches, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows or bytes: words are numbered in larger pieces."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str, text: str, keep: bool) -> DataFrame:
-    """``key``, n, ids of every row, end id included."""
+    """``key``, n, ids of every row, end id included; and of every task a row with n -1: in how many documents it saw each id."""
 
     def run(batches):
         bpe = encoder()
         claim("word_bpe", bpe.forget)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = bpe.encode_arrays(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(list(map(closed, ids)), pa.binary())], names=[key, "n", "ids"])
+        seen, kind = np.zeros(0, np.int64), pa.int64()
+        for batch in _gathered(batches, GATHERED_ROWS, GATHERED_BYTES):
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, GATHERED_ROWS):
+                part = batch.slice(at, GATHERED_ROWS)
+                ids = [np.append(x, np.uint32(END_ID)) for x in bpe.encode_arrays(part.column(1).to_pylist())]
+                for first in range(0, len(ids), 256):
+                    more = np.bincount(term_counts(ids[first : first + 256])[1], minlength=len(seen))
+                    more[: len(seen)] += seen
+                    seen = more
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(list(map(narrow, ids)), pa.binary())], names=[key, "n", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], kind), pa.array([-1], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names=[key, "n", "ids"])
         if not keep:
             bpe.forget()
             give_back_memory()
@@ -211,26 +229,24 @@ def encoded_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str, text:
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n long, ids binary")
 
 
-def dealt(encoded: DataFrame, key: str) -> DataFrame:
-    """The rows of ``encoded_table`` in the order of their telling terms, by ranges of about a shard."""
+def _spread(batches):
+    """term, df of the counts that tasks have left."""
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            df = np.frombuffer(packed, "<i8")
+            t = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(df[t], pa.int64())], names=["term", "df"])
 
-    def count(batches):
-        df = np.zeros(0, np.int64)
-        for batch in batches:
-            _, t, _ = term_counts(list(map(widened, batch.column(1).to_pylist(), batch.column(0).to_pylist())))
-            more = np.bincount(t, minlength=len(df))
-            more[: len(df)] += df
-            df = more
-        t = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(df[t], pa.int64())], names=["term", "df"])
 
+def dealt(table: DataFrame, key: str) -> DataFrame:
+    """The rows of ``encoded_table`` in the order of their telling terms, by ranges of about a shard."""
+    encoded = table.filter("n >= 0")
     n, tokens = encoded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # as many rows as the tokenizer has ids
-    table = encoded.select("n", "ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(max(table["term"].to_pylist(), default=0) + 1, np.int64)
-    df[table["term"].to_numpy()] = table["df"].to_numpy()
-    shared, mean = encoded.sparkSession.sparkContext.broadcast(df), tokens / max(n, 1)
-
+    counts = table.filter("n < 0").select("ids").mapInArrow(_spread, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(max(counts["term"].to_pylist(), default=0) + 1, np.int64)
+    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    shared, mean = table.sparkSession.sparkContext.broadcast(df), tokens / max(n, 1)
     full = max(n / SHARD_DOCS, tokens / SHARD_TOKENS)
     parts = 1 if full <= 1 else int(np.ceil(full * SPARE))
 

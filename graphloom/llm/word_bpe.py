@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Units that are numbered together.
+HELD = 1_000_000
 #: Controls that Python takes for white space and the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD_END = "</w>"
@@ -88,12 +90,15 @@ class WordBpe:
         self.limit = limit
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, parts: bool = True) -> None:
+        """Drop what has been learnt; without ``parts`` the units only, which come back faster from their parts."""
         #: Units and parts of units (cores, runs of signs) to their places in ``pool`` and ``parts``.
         self.units: dict[str, int] = {}
-        self.places: dict[str, int] = {"": 0}
-        self.pool, self.parts = Pool(), Pool()
-        self.parts.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
+        self.pool = Pool()
+        if parts:
+            self.places: dict[str, int] = {"": 0}
+            self.parts = Pool()
+            self.parts.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -153,7 +158,7 @@ class WordBpe:
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
             if len(self.units) + len(unknown) > self.limit:
-                self.forget()  # so all of these texts' units are learnt together
+                self.forget(parts=len(self.places) > self.limit)  # so all of these texts' units are learnt together
                 unknown = np.arange(len(distinct))
             missing = [distinct[i] for i in unknown.tolist()]
             self.learn(missing)
@@ -182,7 +187,7 @@ class WordBpe:
             units = lowered(text).split()
             held += units
             sizes.append(len(units))
-            if len(held) > 300_000:
+            if len(held) > HELD:
                 flush()
         flush()
         return out
