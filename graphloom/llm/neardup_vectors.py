@@ -38,7 +38,7 @@ from graphloom.llm.shared import materialise
 
 #: Filters that a vector exceeds on average, and the fewest it gets by blocks (its best, where it exceeds fewer);
 #: vectors that are compared in one task; filters for each vector of a table.
-EXPECTED, FEWEST, BLOCK, SPREAD = 20, (14, 14, 28), 1024, 64
+EXPECTED, FEWEST, BLOCK, SPREAD = 20, (14, 14, 28), 512, 64
 #: Most words of a block; bits of a filter's name below the length; lengths from which on there are two blocks, and can be three.
 WORDS, NAME_BITS, SHORT, LONG = 4096, 40, 8, 24
 #: Filters whose members are held against each other at once when pairs that met before are left out.

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.memos import claim
 from graphloom.llm.sampling import give_back_memory
@@ -207,12 +208,13 @@ def _gathered(batches, rows: int, size: int) -> Iterator[pa.RecordBatch]:
 def encoded_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str, text: str, keep: bool) -> DataFrame:
     """``key``, n, ids of every row, end id included; and of every task a row with n -1: in how many documents it saw each id."""
 
+    kind = to_arrow_type(df.schema[key].dataType)
+
     def run(batches):
         bpe = encoder()
         claim("word_bpe", bpe.forget)
-        seen, kind = np.zeros(0, np.int64), pa.int64()
+        seen = np.zeros(0, np.int64)
         for batch in _gathered(batches, GATHERED_ROWS, GATHERED_BYTES):
-            kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, GATHERED_ROWS):
                 part = batch.slice(at, GATHERED_ROWS)
                 ids = [np.append(x, np.uint32(END_ID)) for x in bpe.encode_arrays(part.column(1).to_pylist())]

@@ -7,7 +7,9 @@ the whole scaled to length 1. A score is a sparse dot product and its logistic.
 
 Defined results: null or empty text has no feature and scores the bias alone; with
 no labelled row of one class the model is the constant prior; repeated rows are
-scored each; columns other than the key and the text are ignored.
+scored each; of clashing labels of one id the greater counts; columns other than the
+key and the text are ignored; an empty table gives no row. Counts are held to 65,535
+in training, where they travel in two bytes; in scoring they are whole.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from graphloom.llm.textkit import U64, encode, mix
 
 DIM_BITS = 22
 #: Most labelled rows the model is fitted on, passes over them, and the learner's settings.
-TRAIN_ROWS, EPOCHS, ALPHA, BETA, L1, L2 = 8000, 3, 0.6, 1.0, 0.1, 1.0
+TRAIN_ROWS, EPOCHS, ALPHA, BETA, L1, L2 = 8000, 3, 0.6, 1.0, 0.1, 0.001
 THRESHOLD = 0.7
 
 _SHAPE = bytes((65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else 57 if 48 <= i <= 57 else i) for i in range(256))
@@ -98,7 +100,7 @@ def fit(rows: Iterable[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS
 
     def weights_at(i):
         zi = z[i]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2 * 0.001))
+        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     for _ in range(epochs):
         for k in order.permutation(len(scaled)):

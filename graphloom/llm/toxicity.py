@@ -7,8 +7,9 @@ the pair can matter where neither term does. Terms in fewer than ``MIN_TEXTS``
 texts of the training sample are left out of the model.
 
 Defined results: null or empty text scores the bias alone; with no labelled row of
-one class the model is the constant prior; repeated rows are scored each; columns
-other than the key and the text are ignored.
+one class the model is the constant prior; repeated rows are scored each; of clashing
+labels of one id the greater counts; columns other than the key and the text are
+ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from graphloom.llm.textkit import encode
 #: Most labelled rows the model is fitted on, and the learner's settings.
 TRAIN_ROWS, EPOCHS, RANK, MIN_TEXTS = 12_000, 6, 8, 3
 RATE, SPARSE, DECAY, FACTOR_RATE, FACTOR_DECAY = 1.0, 3.0, 1.0, 0.03, 1e-3
+#: Share of the sample's texts, and least number of them, from which on a term has factors whatever its weight.
+FREQUENT, FREQUENT_TEXTS = 0.05, 30
 #: Sample size from which on the L1 term is SPARSE; less, by the square root, below it.
 FULL_SAMPLE = 4000
 THRESHOLD = 0.5
@@ -96,7 +99,8 @@ def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine
     """One text at a time; rows are (label, distinct term hashes).
 
     Weights follow the regularised leader with an L1 term, which leaves terms without
-    evidence out; factors of the terms that have a weight follow AdaGrad.
+    evidence out. Factors follow AdaGrad, of the terms that have a weight and of frequent
+    ones whatever their weight: rarer terms' factors would learn their few texts by heart.
     """
     rows = list(rows)
     labels = np.array([y for y, _ in rows], dtype=np.float64)
@@ -108,6 +112,7 @@ def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine
     hashes = every[counts >= MIN_TEXTS]
     if not len(hashes):
         return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, RANK)), bias)
+    frequent = counts[counts >= MIN_TEXTS] >= max(FREQUENT_TEXTS, FREQUENT * len(rows))
     placed = []
     for y, t in rows:
         i = np.minimum(np.searchsorted(hashes, t), len(hashes) - 1)
@@ -120,7 +125,7 @@ def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine
         for k in random.permutation(len(placed)):
             y, i = placed[k]
             wi = w[i]
-            live = i[wi != 0]
+            live = i[(wi != 0) | frequent[i]]
             vi = v[live]
             s = vi.sum(axis=0)
             raw = bias + wi.sum() + 0.5 * (s @ s - (vi * vi).sum())
@@ -138,7 +143,7 @@ def fit(rows: Iterable[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Machine
                 v[live] = vi - FACTOR_RATE * d / np.sqrt(gv[live])
             gb += g * g
             bias -= 0.1 * g / np.sqrt(gb)
-    known = w != 0
+    known = (w != 0) | frequent
     hashes, w, v = hashes[known].astype(np.int64), w[known], v[known]
     return Machine(hashes, w, v, bias)
 

@@ -87,3 +87,102 @@ def test_no_labels(spark, module):
     assert len({x.score for x in module.score(docs, module.train(none)).collect()}) == 1
     single = spark.createDataFrame([("a b c", 1), ("d e f", 1)], "text string, label int")
     assert all(x.score > 0.5 for x in module.score(docs, module.train(single)).collect())
+
+
+def test_either_but_not_both():
+    """Labels that no sum of weights can give: an insult or a group is toxic, both or neither is not."""
+    r = random.Random(7)
+    rows, memo = [], toxicity._Memo(toxicity.terms)
+    for _ in range(3000):
+        insult, group = r.random() < 0.5, r.random() < 0.5
+        words = [r.choice(EN) for _ in range(6)] + ["scoundrels"] * insult + ["villagers"] * group
+        rows.append((int(insult != group), toxicity.distinct(" ".join(words), memo)))
+    model = toxicity.fit(rows, epochs=12)
+    score = lambda t: model.score(np.unique([i for w in t.encode().split() for i in model.places(w)]).astype(int))
+    assert min(score("the scoundrels and of"), score("the villagers and of")) > 0.8
+    assert max(score("the scoundrels and villagers of"), score("the and of")) < 0.2
+
+
+def test_machine_scores_as_the_sum_over_pairs():
+    r = np.random.default_rng(1)
+    model = toxicity.Machine(np.arange(9), r.normal(size=9), r.normal(size=(9, toxicity.RANK)), 0.3)
+    for k in range(1, 9):
+        places = np.sort(r.choice(9, k, replace=False))
+        plain = model.bias + sum(model.weights[i] for i in places) + sum(float(model.factors[i] @ model.factors[j]) for a, i in enumerate(places) for j in places[a + 1 :])
+        assert abs(model.raw(places) - plain) < 1e-9
+
+
+def test_language_is_that_of_the_nearest_centroid():
+    r = random.Random(2)
+    texts, langs = zip(*[(sentence(w, r.randint(2, 40), r), lang) for _ in range(60) for lang, w in (("en", EN), ("de", DE), ("fr", FR))])
+    model = language.fit(list(langs), language.matrix(list(texts)))
+    asked = [sentence(EN + FR, 8, r) for _ in range(30)] + [sentence(DE, 5, r) for _ in range(30)]
+    got, scores, _ = model.predict(asked)
+    for text, lang, score in zip(asked, got, scores):
+        tf = np.bincount(language.counts(text), minlength=language.DIMS)
+        x = np.array([np.log(1 + n) * i for n, i in zip(tf, model.idf)])
+        near = [float(x @ c) / (np.linalg.norm(x) * np.linalg.norm(c)) for c in model.vectors]
+        assert lang == model.langs[model.owner[int(np.argmax(near))]] and abs(score - max(near)) < 1e-4
+
+
+def test_no_language_is_left_out(spark):
+    """More languages than a bounded number of centroids once allowed; the rarest have one text."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    own = {f"l{k:03}": [word() for _ in range(5)] for k in range(330)}
+    rows = [(i, sentence(w, 12, r), lang) for i, (lang, w) in enumerate((lang, w) for lang, w in own.items() for _ in range(1 + (lang < "l100")))]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.langs) == set(own)
+    asked = {lang: sentence(w, 12, r) for lang, w in own.items()}
+    got = model.predict(list(asked.values()))[0]
+    assert np.mean([a == b for a, b in zip(got, asked)]) > 0.97
+
+
+def test_leader_as_a_dense_loop(monkeypatch):
+    """The sparse learner against one that holds and moves every weight, written from the published update."""
+    monkeypatch.setattr(quality, "DIM_BITS", 7)
+    r = random.Random(4)
+    texts = [(i % 2, sentence(EN if i % 2 else DE + FR, r.randint(1, 25), r)) for i in range(120)]
+    memo = quality._Pairs()
+    rows = [(y, *quality.features(t, memo)) for y, t in texts]
+    got = quality.fit(rows)
+    size = 1 << 7
+    z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
+    bias, bias_n, order = float(np.log(0.5 / 0.5)), 1.0, np.random.default_rng(5)
+    for _ in range(quality.EPOCHS):
+        for k in order.permutation(len(rows)):
+            y, places, counts = rows[k]
+            x = np.zeros(size)
+            for p, c in zip(places, counts):
+                x[p] = np.log(1 + c)
+            x = (x / np.sqrt((x**2).sum())).astype(np.float32).astype(float)
+            for j in range(size):
+                w[j] = 0.0 if abs(z[j]) <= quality.L1 else (np.sign(z[j]) * quality.L1 - z[j]) / ((quality.BETA + np.sqrt(n[j])) / quality.ALPHA + quality.L2)
+            g = 1 / (1 + np.exp(-(bias + w @ x))) - y
+            for j in np.flatnonzero(x):
+                z[j] += g * x[j] - (np.sqrt(n[j] + (g * x[j]) ** 2) - np.sqrt(n[j])) / quality.ALPHA * w[j]
+                n[j] += (g * x[j]) ** 2
+            bias_n += g * g
+            bias -= 0.1 * g / np.sqrt(bias_n)
+    for j in range(size):
+        w[j] = 0.0 if abs(z[j]) <= quality.L1 else (np.sign(z[j]) * quality.L1 - z[j]) / ((quality.BETA + np.sqrt(n[j])) / quality.ALPHA + quality.L2)
+    assert np.allclose(got.weights, w, atol=1e-3) and abs(got.bias - bias) < 1e-4
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality"), (language, "lang")])
+def test_columns_of_the_same_names(spark, module, label):
+    """Extra columns named as the operators' own change nothing."""
+    r = random.Random(9)
+    rows = [(i, sentence(EN if i % 2 else DE, 9, r), "en" if i % 2 else "de") for i in range(120)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    wide = plain.withColumns({c: F.lit("x") for c in ("score", "predicted", "label", "terms", "places", "counts", "lang_pred", "rejected", "share", "n", "tf", "toxic", "quality")})
+    out = []
+    for docs in (plain, wide):
+        if module is language:
+            out.append(sorted(map(tuple, language.predict(docs, language.train(docs)).collect())))
+        else:
+            from graphloom.llm.sampling import labelled_sample
+
+            labels = spark.createDataFrame([(i, int(i % 2)) for i in range(120)], f"doc_id long, {label} int")
+            out.append(sorted(map(tuple, module.score(docs, module.train(labelled_sample(docs, labels, label, F.lit(True), 100))).collect())))
+    assert out[0] == out[1] and len(out[0]) == 120

@@ -62,3 +62,31 @@ def test_texts(spark, make_docs, odd_texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[5].media_sha256 == got[6].media_sha256 and got[5].feature == got[6].feature
     assert tiff.text_media_digests(make_docs([])).count() == 0
+
+
+def test_published_packbits():
+    """The worked example of the format's own description."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.packbits_decode(packed).hex().upper() == "AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA"
+
+
+def test_published_lzw():
+    """The worked example of the format's own description: 9-bit codes, high bits first."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    bits += "0" * (-len(bits) % 8)
+    packed = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    assert tiff.lzw_decode(packed) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_a_file_written_by_hand():
+    """Big-endian, one strip, deflate from the standard library, no predictor."""
+
+    image = np.arange(24, dtype=np.uint8).reshape(4, 6)
+    strip = zlib.compress(image.tobytes())
+    tags = [(256, 3, 1, 6 << 16), (257, 3, 1, 4 << 16), (258, 3, 1, 8 << 16), (259, 3, 1, 8 << 16), (262, 3, 1, 1 << 16), (273, 4, 1, 8), (277, 3, 1, 1 << 16), (278, 3, 1, 4 << 16), (279, 4, 1, len(strip))]
+    at = 8 + len(strip) + len(strip) % 2
+    head = b"MM\x00*" + struct.pack(">I", at) + strip + b"\0" * (len(strip) % 2)
+    data = head + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + struct.pack(">I", 0)
+    (page,) = tiff.read_tiff(data)
+    assert np.array_equal(np.frombuffer(page.pixels, np.uint8).reshape(4, 6), image)
