@@ -47,7 +47,7 @@ FIRST, COMMON, CELLS = 32, 4, 1 << 23
 BOUND_ROWS, MOST_BOUND_ROWS = 64, 200_000
 TOKENIZER = "word_bpe_49k.json"
 #: Units that a worker remembers between tasks; rows and bytes of text that are encoded together.
-UNITS, GATHERED_ROWS, GATHERED_BYTES = 1_000_000, 2048, 12 << 20
+UNITS, GATHERED_ROWS, GATHERED_BYTES = 1_000_000, 1024, 6 << 20
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -88,7 +88,8 @@ class Bm25:
         self.rows, self.terms = row[t], t
         self.own = starts.tolist()
         order = np.argsort(t[~dense], kind="stable")
-        self.columns, self.weights = d[~dense][order], weight[~dense][order]
+        kind = np.uint16 if n < 1 << 16 else np.int64
+        self.columns, self.weights = d[~dense][order].astype(kind), weight[~dense][order]
         self.begin = np.concatenate(([0], np.cumsum(np.bincount(t[~dense], minlength=len(df)))))
         #: The document of each column.
         self.docs = np.arange(n)
@@ -97,7 +98,7 @@ class Bm25:
         """Take used documents out; weights stay those of the whole shard."""
         keep = unused[self.docs]
         self.matrix = self.matrix[:, keep]
-        place = np.cumsum(keep) - 1
+        place = (np.cumsum(keep) - 1).astype(self.columns.dtype)
         stay = keep[self.columns]
         self.begin = np.concatenate(([0], np.cumsum(stay)))[self.begin]
         self.columns, self.weights = place[self.columns[stay]], self.weights[stay]
@@ -313,7 +314,7 @@ def pack_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_id
         docs.clear()
         give_back_memory()
 
-    encoded = materialise(encoded_table(df, encoder, key, text, keep), "ids")
+    encoded = materialise(encoded_table(df, encoder, key, text, keep), "ids", compression="none", **{"parquet.enable.dictionary": "false"})
     return dealt(encoded, key).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 

@@ -12,6 +12,7 @@ Latin-1 characters are lower-cased as a whole first, which the tokenizer does to
 from __future__ import annotations
 
 import os
+import unicodedata
 from itertools import compress, repeat
 
 import numpy as np
@@ -37,6 +38,11 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
+def _stays_letters(core: str) -> bool:
+    """Whether the file's normalizer leaves letters only: some letters become one with a mark, which signs after it join."""
+    return max(core) <= "\xff" or unicodedata.normalize("NFC", core).lower().isalpha()
+
+
 class Pool:
     """Ids of numbered entries, one after another in one array."""
 
@@ -118,10 +124,12 @@ class WordBpe:
             self.places.update(zip(part, range(self.parts.n, self.parts.n + len(part))))
             self.parts.add(ids, np.diff(stops, prepend=0))
 
-    def learn(self, units: list[str]) -> None:
-        """Remember the ids of these units, none of which is known."""
+    def learn(self, units: list[str]) -> np.ndarray:
+        """Remember the ids of these units, none of which is known; gives their places."""
+        at = np.empty(len(units), np.int64)
         cores = [unit.rstrip(SIGNS) for unit in units]
-        letters = [core.isalpha() for core in cores]
+        letters = [core.isalpha() and (core.isascii() or _stays_letters(core)) for core in cores]
+        of_letters = np.array(letters, bool)
         odd = [unit for unit, ok in zip(units, letters) if not ok]
         if odd:
             units, cores = list(compress(units, letters)), list(compress(cores, letters))
@@ -138,13 +146,16 @@ class WordBpe:
         both[::2] = np.fromiter(map(place, cores), np.int64, len(units))
         both[1::2] = np.fromiter(map(place, ends), np.int64, len(units))
         ids, counts = self.parts.of(both)
+        at[of_letters] = np.arange(self.pool.n, self.pool.n + len(units))
+        at[~of_letters] = np.arange(self.pool.n + len(units), self.pool.n + len(at))
         self.units.update(zip(units, range(self.pool.n, self.pool.n + len(units))))
         self.pool.add(ids, counts[::2] + counts[1::2])
-        for at in range(0, len(odd), 4096):
-            part = odd[at : at + 4096]
+        for start in range(0, len(odd), 4096):
+            part = odd[start : start + 4096]
             found = self.whole(part)
             self.units.update(zip(part, range(self.pool.n, self.pool.n + len(part))))
             self.pool.add(np.concatenate(found), np.array([len(x) for x in found], np.int64))
+        return at
 
     def _of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, and how many each has; each distinct one is looked up once."""
@@ -160,9 +171,7 @@ class WordBpe:
             if len(self.units) + len(unknown) > self.limit:
                 self.forget(parts=len(self.places) > self.limit)  # so all of these texts' units are learnt together
                 unknown = np.arange(len(distinct))
-            missing = [distinct[i] for i in unknown.tolist()]
-            self.learn(missing)
-            at[unknown] = np.fromiter(map(self.units.__getitem__, missing), np.int64, len(missing))
+            at[unknown] = self.learn([distinct[i] for i in unknown.tolist()])
         return self.pool.of(at[of])
 
     def encode_arrays(self, texts: list[str | None]) -> list[np.ndarray]:

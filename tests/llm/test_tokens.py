@@ -45,6 +45,12 @@ def test_words_as_the_library(text):
     assert np.frombuffer(PLAIN.encode([text])[0], "<u4").tolist() == PLAIN_DIRECT.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_that_get_a_mark():
+    """Signs after a letter that the normalizer turns into a letter and a mark are one run with the mark."""
+    texts = ["İ_", "\u0958--", "aİ!? b", "\u0958", "İ"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WORDS.encode(texts)] == [DIRECT.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_names_of_special_tokens():
     texts = ["hello <|endoftext|> world", "<|startoftext|>a", "x<|endoftext|>", "<|endoftext|>"]
     assert [np.frombuffer(x, "<u4").tolist() for x in WORDS.encode(texts)] == [DIRECT.encode(t, add_special_tokens=False).ids for t in texts]
