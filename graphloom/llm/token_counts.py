@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from graphloom.llm.memos import claim
 from graphloom.llm.packing import encoder_for
+from graphloom.llm.sampling import give_back_memory
 from graphloom.llm.shared import documents, materialise
 from graphloom.llm.word_bpe import WordBpe
 
 #: End id of the public word-end tokenizer (a special token, which no text has where names of special tokens are plain text), bytes of an id, ids of a block.
 END_ID, ID_BYTES, BLOCK_IDS = 49_407, 2, 1 << 18
 #: Units that a worker remembers: fewer than for packing, since the same task also writes Parquet.
-UNITS = 500_000
+UNITS = 300_000
 
 
 def flat_blocks(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, id_bytes: int = ID_BYTES) -> DataFrame:
@@ -105,6 +106,8 @@ def write_blocks(df: DataFrame, encoder: Callable[[], WordBpe], key: str = "doc_
             yield rows(block, bytes(held), None)
         if keys:
             yield rows(first, None, keys)
+        held.clear()
+        give_back_memory()
 
     return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "file long, block long, ids binary, keys array<long>")
 

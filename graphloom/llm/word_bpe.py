@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that are numbered together.
-HELD = 1_000_000
+HELD = 400_000
 #: Controls that Python takes for white space and the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD_END = "</w>"
