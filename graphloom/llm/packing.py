@@ -67,7 +67,10 @@ class Bm25:
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
-        d, t, c = term_counts(docs)
+        # some documents at a time: what sorting them takes is then small beside the shard
+        pieces = [(at, *term_counts(docs[at : at + 256])) for at in range(0, n, 256)]
+        d, t, c = np.concatenate([at + x for at, x, _, _ in pieces]), np.concatenate([x for _, _, x, _ in pieces]), np.concatenate([x for _, _, _, x in pieces])
+        del pieces
         lengths = np.array([len(x) for x in docs], np.float32)
         df = np.bincount(t)
         idf = np.log((n - df + 0.5) / (df + 0.5) + 1).astype(np.float32)
