@@ -1,11 +1,13 @@
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from graphloom.llm import jaccard_join, neardup_vectors, repeats
+from graphloom.llm import jaccard_join, neardup_vectors, repeats, shared
 from graphloom.llm.components import components
 from graphloom.llm.textkit import encode
+from pyspark.sql import functions as F
 
 
 def sets_of(rows, n):
@@ -91,6 +93,20 @@ def test_bounds_of_large_sets(spark, make_docs):
     assert {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(make_docs(rows)).collect()} == label
 
 
+def test_shuffles_go_with_the_query_that_made_them(spark):
+    """What a written table was shuffled through leaves the disk at once, and the setting stays the caller's."""
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    for k in range(3):
+        table = shared.materialise(spark.range(5000).repartition(4 + k, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+        assert len(table.collect()) == 7
+    deadline = time.monotonic() + 20
+    while files() > before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert files() <= before
+    assert spark.conf.get(shared.CLEANUP, None) in (None, "false")
+
+
 def removed(rows, window):
     words = [(i, encode(t).split()) for i, t in rows]
     first: dict = {}
