@@ -8,10 +8,13 @@ element among the first ``n - ceil(percent / 100 * n) + 1`` of each (the *prefix
 
 1. Equal sets are collapsed; of the rest, prefix elements that two documents have
    are found over all shards.
-2. Documents of a shard with the same prefix and size become one group, with the
-   least and most elements that its members have in each part of the hash range
-   (more parts for larger sets). Groups that share a prefix element are compared by size, by place of
-   the element and by those bounds; what passes ties groups to clusters.
+2. Documents of a shard with the same prefix and size become one group, with a bit
+   for each part of the hash range (more parts for larger sets): whether its members'
+   elements there are odd in number. Parts that differ hold an element that only one
+   set has. Groups that share a prefix element are compared by size, by place of
+   the element and by those bits; what passes ties groups to clusters. Sets have parts
+   enough that unrelated ones of any size practically never pass: a few that do would tie
+   a large table's documents to one cluster.
 3. Clusters are expanded: their members' whole sets meet and are verified exactly, as
    counts of common elements by matrix products. Links become components.
 
@@ -50,8 +53,10 @@ SHARD_DOCS, SHARD_BYTES, BLOCK = 2048, 32 << 20, 1024
 MEMBERS, REST = 96, 96
 #: Words that are hashed together.
 CHUNK = 32_768
-#: Counters of the sketch and the pieces it is added up in; parts of the hash range for the bounds.
-COUNTERS, PIECES, PARTS = 1 << 20, 64, (64, 256, 1024)
+#: Counters of the sketch and the pieces it is added up in; least and most parts of the hash range that have a bit.
+COUNTERS, PIECES, PARTS = 1 << 20, 64, (512, 16_384)
+#: Groups of an element that are compared one by one; more are compared as arrays.
+FEW = 12
 ELEMENTS, SETS = 0, 1
 DOC, GROUP, MEMBER = 0, 1, 2
 
@@ -233,23 +238,28 @@ def _meet(batches):
 
 def _parts_for(n: int) -> int:
     """Parts of a set of ``n`` elements: enough for unrelated sets to differ by more than linked ones may."""
-    return PARTS[0] if n < 1000 else PARTS[1] if n < 4000 else PARTS[2]
+    return min(max(PARTS[0], 1 << (5 * n // 8).bit_length()), PARTS[1])
 
 
 def _parts(elements: np.ndarray) -> np.ndarray:
+    """For each part a bit: whether it has an odd number of elements."""
     k = _parts_for(len(elements))
-    return np.minimum(np.bincount((elements >> U64(64 - (k.bit_length() - 1))).astype(np.int64), minlength=k), 255).astype(np.uint8)
+    return np.packbits(np.bincount((elements & U64(k - 1)).astype(np.int64), minlength=k).astype(np.uint8) & 1)
 
 
-def _folded(bounds: tuple[bytes, ...], sizes: np.ndarray, k: int) -> np.ndarray:
-    """Least and most elements in ``k`` parts, of the rows that have as many parts; 0 for others."""
-    out = np.zeros((len(bounds), 2, k), np.int16)
-    for i, (b, n) in enumerate(zip(bounds, sizes.tolist())):
-        own = _parts_for(n)
-        if own >= k:
-            x = np.frombuffer(b if len(b) > own else b + b, np.uint8).reshape(2, k, own // k)
-            out[i] = x.sum(axis=2)
-    return out
+def _halved(bits: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of ``k`` parts from those of more: two parts that become one are odd together if one of them is."""
+    while 8 * len(bits) > k:
+        half = len(bits) // 2
+        bits, known = bits[:half] ^ bits[half:], known[:half] & known[half:]
+    return bits, known
+
+
+def _bits(bounds: bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of ``k`` parts of a group's members, and in which parts they all have the same."""
+    own = _parts_for(n) // 8
+    bits = np.frombuffer(bounds[:own], np.uint8)
+    return _halved(bits, np.frombuffer(bounds[own:], np.uint8) if len(bounds) > own else np.full(own, 255, np.uint8), k)
 
 
 def _groups(heat, rule: Rule):
@@ -276,13 +286,12 @@ def _groups(heat, rule: Rule):
             if not len(at):
                 continue
             x = _parts(e)
-            group = groups.setdefault((len(e), p.tobytes()), [doc, p, at, x.copy(), x.copy(), []])
+            group = groups.setdefault((len(e), p.tobytes()), [doc, p, at, x, np.full(len(x), 255, np.uint8), []])
             group[0] = min(group[0], doc)
-            np.minimum(group[3], x, out=group[3])
-            np.maximum(group[4], x, out=group[4])
+            group[4] &= ~(group[3] ^ x)
             group[5].append(doc)
-        for (n, _), (lead, p, at, low, high, members) in groups.items():
-            bounds = low.tobytes() if len(members) == 1 else low.tobytes() + high.tobytes()
+        for (n, _), (lead, p, at, bits, known, members) in groups.items():
+            bounds = bits.tobytes() if len(members) == 1 else bits.tobytes() + known.tobytes()
             rows += [(GROUP, int(v), lead, None, n, int(k), bounds) for k, v in zip(at.tolist(), p[at].view(np.int64).tolist())]
             rows += [(MEMBER, None, m, lead, None, None, None) for m in members if m != lead]
         return _table(rows, FOUND)
@@ -325,28 +334,51 @@ def _edges(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root.tolist()) if i != r]
 
 
+def _pass(rule: Rule, a: tuple, b: tuple) -> bool:
+    """Whether two groups of one element pass size, place and bits."""
+    (_, _, n, place, bits), (_, _, m, other, more) = a, b
+    if 100 * min(n, m) < rule.percent * max(n, m) or not rule.linked(min(place, other) + 1 + min(n - place, m - other) - 1, n, m):
+        return False
+    if len(bits) == len(more) == _parts_for(n) // 8 == _parts_for(m) // 8:
+        return rule.near((int.from_bytes(bits) ^ int.from_bytes(more)).bit_count(), n + m)
+    k = min(_parts_for(n), _parts_for(m))
+    (x, known), (y, same) = _bits(bits, n, k), _bits(more, m, k)
+    return rule.near(int(np.bitwise_count((x ^ y) & known & same).sum()), n + m)
+
+
 def _filter(rule: Rule, key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-    """Group pairs of one element that pass size, place and bounds."""
+    """Group pairs of one element that pass size, place and bits."""
+    if len(rows) == 2 and (key[1] == key[2] or rows[0][0] != rows[1][0]):
+        return [(max(rows[0][1], rows[1][1]), min(rows[0][1], rows[1][1]))] if _pass(rule, *rows) else []
     block, ids, n, place, bounds = zip(*rows)
-    block, ids, n, place = np.array(block), np.array(ids), np.array(n), np.array(place)
-    total = n[:, None] + n[None, :]
+    block, ids = np.array(block), np.array(ids)
+    if len(rows) <= FEW:
+        ok = np.zeros((len(rows), len(rows)), bool)
+        for i, a in enumerate(rows):
+            for j in range(i):
+                if key[1] == key[2] or a[0] != rows[j][0]:
+                    ok[i, j] = _pass(rule, a, rows[j])
+        return _edges(ids, ok | ok.T) if ok.any() else []
+    n, place = np.array(n), np.array(place)
     after = n - place - 1
     most = np.minimum(place[:, None], place[None, :]) + 1 + np.minimum(after[:, None], after[None, :])
     ok = (100 * np.minimum(n[:, None], n[None, :]) >= rule.percent * np.maximum(n[:, None], n[None, :])) & rule.linked(most, n[:, None], n[None, :])
     if key[1] != key[2]:
         ok &= block[:, None] != block[None, :]
+    i, j = np.nonzero(np.triu(ok, 1))
+    ok[:] = False
     own = np.array([_parts_for(k) for k in n.tolist()])
-    for k in PARTS:
-        if not (own >= k).any():
-            break
-        x = _folded(bounds, n, k)
-        i, j = np.nonzero(ok & (own >= k)[:, None] & (own >= k)[None, :])
+    both = np.minimum(own[i], own[j])
+    for k in np.unique(both).tolist():
+        has, which = np.flatnonzero(own >= k), np.flatnonzero(both == k)
+        at = np.cumsum(own >= k) - 1
+        found = [_bits(bounds[r], int(n[r]), k) for r in has.tolist()]
+        x, known = (np.array([f[w] for f in found]).view(np.uint64) for w in (0, 1))
         step = (1 << 23) // k
-        for s in range(0, len(i), step):
-            a, b = i[s : s + step], j[s : s + step]
-            apart = np.maximum(np.maximum(x[a, 0] - x[b, 1], x[b, 0] - x[a, 1]), 0).sum(axis=1)
-            ok[a, b] = rule.near(apart, total[a, b])
-    np.fill_diagonal(ok, False)
+        for s in range(0, len(which), step):
+            a, b = i[which[s : s + step]], j[which[s : s + step]]
+            apart = np.bitwise_count((x[at[a]] ^ x[at[b]]) & known[at[a]] & known[at[b]]).sum(axis=1, dtype=np.int64)
+            ok[a, b] = rule.near(apart, n[a] + n[b])
     return _edges(ids, ok | ok.T) if ok.any() else []
 
 

@@ -93,6 +93,42 @@ def test_bounds_of_large_sets(spark, make_docs):
     assert {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(make_docs(rows)).collect()} == label
 
 
+def _rows(sets, common):
+    """Rows of one element for ``_filter``: block, id, size, place and bounds of each set."""
+    bounds = [jaccard_join._parts(x).tobytes() for x in sets]
+    return [(0, i, len(x), int(np.flatnonzero(np.sort(x) == common)[0]), b) for i, (x, b) in enumerate(zip(sets, bounds))]
+
+
+@pytest.mark.parametrize("n", [300, 810, 980, 3900])
+def test_unrelated_sets_do_not_tie(n):
+    """Sets that share an element only: what ties them by chance grows with the square of a table."""
+    random, common = np.random.default_rng(n), np.uint64(5)
+    sets = [np.append(random.integers(6, 2**64, n - 1 - i % 9, dtype=np.uint64), common) for i in range(200)]
+    assert jaccard_join._filter(jaccard_join.Rule(), (5, 0, 0), _rows(sets, common)) == []
+
+
+@pytest.mark.parametrize("others", [0, 1, 5, 60])
+def test_linked_sets_of_other_sizes_tie(others):
+    """Linked sets whose bits are for different numbers of parts, among few groups and among many."""
+    random, common = np.random.default_rng(others), np.uint64(5)
+    large = np.append(random.integers(6, 2**64, 859, dtype=np.uint64), common)
+    small = np.append(large[:780], common)
+    assert jaccard_join._parts_for(len(large)) > jaccard_join._parts_for(len(small))
+    sets = [large, small] + [np.append(random.integers(6, 2**64, 700 + 9 * i, dtype=np.uint64), common) for i in range(others)]
+    assert jaccard_join._filter(jaccard_join.Rule(), (5, 0, 0), _rows(sets, common)) == [(1, 0)]
+
+
+def test_bits_of_a_group_that_members_share():
+    """Parts where members differ say nothing; a set that is near one member only passes."""
+    random = np.random.default_rng(3)
+    a, b = (random.integers(6, 2**64, 600, dtype=np.uint64) for _ in range(2))
+    x, y = jaccard_join._parts(a), jaccard_join._parts(b)
+    group, rule = x.tobytes() + (~(x ^ y)).tobytes(), jaccard_join.Rule()
+    for one in (x, y):
+        assert jaccard_join._filter(rule, (5, 0, 0), [(0, 1, 600, 3, group), (0, 2, 600, 3, one.tobytes())]) == [(2, 1)]
+        assert jaccard_join._filter(rule, (5, 0, 0), [(0, 1, 600, 3, x.tobytes()), (0, 2, 600, 3, y.tobytes())]) == []
+
+
 def test_shuffles_go_with_the_query_that_made_them(spark):
     """What a written table was shuffled through leaves the disk at once, and the setting stays the caller's."""
     files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
