@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ FIRST, COMMON, CELLS = 32, 4, 1 << 23
 #: Documents of each partition, and in all, that the bounds of the ranges are taken from.
 BOUND_ROWS, MOST_BOUND_ROWS = 64, 200_000
 TOKENIZER = "word_bpe_49k.json"
-#: Units that a worker remembers between tasks; rows and bytes of text that are encoded together.
-UNITS, GATHERED_ROWS, GATHERED_BYTES = 1_000_000, 1024, 6 << 20
+#: Units that a worker remembers between tasks; rows and bytes of text that are encoded together; documents that are counted together.
+UNITS, GATHERED_ROWS, GATHERED_BYTES, COUNTED = 1_000_000, 1 << 15, 16 << 20, 256
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,11 +56,15 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, term and count of every distinct term of every document, in this order."""
     lengths = np.array([len(x) for x in docs], np.int64)
-    both = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, lengths)
-    both |= np.concatenate(docs).astype(np.int64) if docs else both
+    ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
+    # document and term in one number, as short as they allow: short ones are sorted faster
+    kind, bits = (np.uint32, 16) if len(docs) <= 1 << 16 and ids.max(initial=0) < 1 << 16 else (np.int64, 32)
+    both = np.repeat(np.arange(len(docs), dtype=kind) << kind(bits), lengths)
+    both |= ids.astype(kind)
     both.sort()
     start = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
-    return both[start] >> 32, both[start] & 0xFFFFFFFF, np.diff(start, append=len(both))
+    found = both[start].astype(np.int64)
+    return found >> bits, found & ((1 << bits) - 1), np.diff(start, append=len(both))
 
 
 class Bm25:
@@ -68,7 +73,7 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         # some documents at a time: what sorting them takes is then small beside the shard
-        pieces = [(at, *term_counts(docs[at : at + 256])) for at in range(0, n, 256)]
+        pieces = [(at, *term_counts(docs[at : at + COUNTED])) for at in range(0, n, COUNTED)]
         d, t, c = np.concatenate([at + x for at, x, _, _ in pieces]), np.concatenate([x for _, _, x, _ in pieces]), np.concatenate([x for _, _, _, x in pieces])
         del pieces
         lengths = np.array([len(x) for x in docs], np.float32)
@@ -203,8 +208,9 @@ def _gathered(batches, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
-            yield pa.concat_batches(held)
+            batch = pa.concat_batches(held)
             held = []
+            yield batch
     if held:
         yield pa.concat_batches(held)
 
@@ -219,14 +225,13 @@ def encoded_table(df: DataFrame, encoder: Callable[[], WordBpe], key: str, text:
         claim("word_bpe", bpe.forget)
         seen = np.zeros(0, np.int64)
         for batch in _gathered(batches, GATHERED_ROWS, GATHERED_BYTES):
-            for at in range(0, batch.num_rows, GATHERED_ROWS):
-                part = batch.slice(at, GATHERED_ROWS)
-                ids = [np.append(x, np.uint32(END_ID)) for x in bpe.encode_arrays(part.column(1).to_pylist())]
-                for first in range(0, len(ids), 256):
-                    more = np.bincount(term_counts(ids[first : first + 256])[1], minlength=len(seen))
-                    more[: len(seen)] += seen
-                    seen = more
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(list(map(narrow, ids)), pa.binary())], names=[key, "n", "ids"])
+            encoded = bpe.encoded(x.as_py() for x in batch.column(1))
+            for at in range(0, batch.num_rows, COUNTED):
+                ids = [np.append(x, np.uint32(END_ID)) for x in islice(encoded, COUNTED)]
+                more = np.bincount(term_counts(ids)[1], minlength=len(seen))
+                more[: len(seen)] += seen
+                seen = more
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, COUNTED), pa.array([len(x) for x in ids], pa.int64()), pa.array(list(map(narrow, ids)), pa.binary())], names=[key, "n", "ids"])
         yield pa.RecordBatch.from_arrays([pa.array([None], kind), pa.array([-1], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names=[key, "n", "ids"])
         if not keep:
             bpe.forget()

@@ -1,13 +1,15 @@
 import hashlib
 import math
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from graphloom.llm import byte_bpe, packing
+from graphloom.llm import byte_bpe, packing, word_bpe
 from graphloom.llm.textkit import encode
 from graphloom.llm.word_bpe import WordBpe
 from hypothesis import given, settings, strategies as st
@@ -63,6 +65,45 @@ def test_memory_of_units_is_bounded():
     assert small.encode(texts) == WORDS.encode(texts)
 
 
+def test_pieces_of_a_table_of_texts(monkeypatch):
+    """Texts that are numbered and given in several pieces, with texts among them that the library encodes as a whole."""
+    monkeypatch.setattr(word_bpe, "HELD", 60)
+    monkeypatch.setattr(word_bpe, "GIVEN", 7)
+    r = random.Random(8)
+    some = ["the", "schön", "Schön", "été.", "ÉTÉ!", "ªº", "µ!", "naïve÷", "a×b", "ÿ...", "...", "12,5", "ΑΒΓ;", "中文", "it's", "\x1d", "<|endoftext|>", "x" * 70, "\xa0", "  "]
+    texts = [" ".join(r.choices(some, k=r.randint(0, 12))) for _ in range(200)] + [None, ""]
+    for limit in (6, 1000):
+        words = WordBpe(P.path("word_bpe_49k.json"), limit=limit)
+        assert [x.tolist() for x in words.encode_arrays(texts)] == [DIRECT.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_units_cost_a_fraction_of_the_library():
+    """CPU time of texts with many distinct units, beside the library's for the same ids."""
+    r = random.Random(3)
+    parts = ["the", "sch", "tion", "é", "ung", "que", "ñ", "er", "lich", "a", "o", "wh"]
+    units = ["".join(r.choices(parts, k=r.randint(2, 6))) + r.choice(["", "", "", ".", ",", "***"]) for _ in range(150_000)]
+    texts = [" ".join(r.choices(units, k=400)) for _ in range(1500)]
+    own, library = [], []
+    for _ in range(3):
+        words, begin = WordBpe(P.path("word_bpe_49k.json")), time.process_time()
+        found = words.encode_arrays(texts)
+        between = time.process_time()
+        expected = DIRECT.encode_batch_fast(texts, add_special_tokens=False)
+        own.append(between - begin)
+        library.append(time.process_time() - between)
+    assert [x.tolist() for x in found] == [x.ids for x in expected]
+    assert min(own) < 0.28 * min(library), (own, library)
+
+
+@pytest.mark.parametrize("most", [40, 1 << 16, 1 << 20])
+def test_term_counts_are_plain_counts(most):
+    r = np.random.default_rng(2)
+    docs = [np.append(r.integers(0, most, r.integers(0, 80)), most - 1).astype(np.uint32) for _ in range(300)]
+    plain = [(d, t, c) for d, doc in enumerate(docs) for t, c in sorted(Counter(doc.tolist()).items())]
+    assert list(zip(*(x.tolist() for x in packing.term_counts(docs)))) == plain
+    assert [len(x) for x in packing.term_counts([])] == [0, 0, 0]
+
+
 def test_round_trip(spark, make_docs, odd_texts):
     docs = make_docs(odd_texts)
     for r in byte_bpe.round_trip(docs).collect():
